@@ -34,5 +34,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), 4096, 1)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_language_id, op10_best_fit_packing)}
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_topic").alias("topic"), F.round("_weight", 6).alias("weight"), F.round("_prob", 6).alias("prob"), F.col("_selected").alias("selected"))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import NearParams, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), NearParams(percent=85))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_quality_rules, op3_language_id, op4_minhash_near_dedup, op7_line_dedup, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
