@@ -53,5 +53,31 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_quality_rules, op3_language_id, op4_minhash_near_dedup, op7_line_dedup, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op5_kd_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_search import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mixing, op2_quality_rules, op3_language_id, op4_minhash_near_dedup, op5_kd_tree_search,
+        op6_warc_round_trip, op7_line_dedup, op10_best_fit_packing,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_kd_tree_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+              FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}
