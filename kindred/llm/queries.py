@@ -66,11 +66,23 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op9_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_quality_rules, op3_language_id, op4_minhash_near_dedup, op5_kd_tree_search,
-        op6_warc_round_trip, op7_line_dedup, op10_best_fit_packing,
+        op6_warc_round_trip, op7_line_dedup, op8_pii_boosting, op9_template_extraction, op10_best_fit_packing,
     )
 }
 ORACLE_SQL: dict[str, str] = {
