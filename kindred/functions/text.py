@@ -50,31 +50,12 @@ def _simple_lower(s: str) -> str:
     return "".join(low[0] if len(low := c.lower()) == 1 or c == "İ" else c for c in s)
 
 
-def _unicode(form: str | None, marks: bool):
-    @F.pandas_udf(T.StringType())
-    def run(s: pd.Series) -> pd.Series:
-        def one(x):
-            if x is None:
-                return None
-            if marks:
-                x = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"))
-            return unicodedata.normalize(form, x) if form else x
-
-        return s.map(one, na_action="ignore")
-
-    return run
-
-
-@F.pandas_udf(T.StringType())
-def _lower_points(s: pd.Series) -> pd.Series:
-    return s.map(_simple_lower, na_action="ignore")
-
-
 _BEYOND_ASCII = r"[^\x00-\x7F]"
 
 
-def _lower(c: Column) -> Column:
-    return F.when(c.rlike(_BEYOND_ASCII), _lower_points(c)).otherwise(F.lower(c))
+def _beyond(c: Column) -> Column:
+    """``c`` where it has a character outside ASCII, else null: what Python is sent."""
+    return F.when(c.rlike(_BEYOND_ASCII), c)
 
 
 def normalise(c: Column, options: NormalisationOptions = NormalisationOptions()) -> Column:
@@ -83,17 +64,17 @@ def normalise(c: Column, options: NormalisationOptions = NormalisationOptions())
     Digits are no camel boundary here. ``strip_diacritics`` overrides ``nfc``. Null gives null.
     """
     out = c
-    if options.strip_diacritics:
-        out = F.when(c.rlike(_BEYOND_ASCII), _unicode(None, True)(c)).otherwise(c)
-    elif options.nfc:
-        out = F.when(c.rlike(_BEYOND_ASCII), _unicode("NFC", False)(c)).otherwise(c)
     if options.split_camel_case:
-        out = F.regexp_replace(out, r"(?<=\p{Ll})(?=\p{Lu})", " ")
+        out = F.regexp_replace(out, r"(?<=[a-z])(?=[A-Z])", " ")
     if options.lowercase:
-        out = _lower(out)
+        out = F.lower(out)
     if options.strip_separators:
         out = F.trim(F.regexp_replace(out, _class(options.separator_chars + " \t\n\r\x0b\x0c") + "+", " "))
-    return out
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: py_normalise(x, options), na_action="ignore")
+
+    return F.when(c.rlike(_BEYOND_ASCII), F.pandas_udf(run, T.StringType())(_beyond(c))).otherwise(out)
 
 
 def tokenise(c: Column, options: TokeniseOptions = TokeniseOptions()) -> Column:
@@ -108,7 +89,7 @@ def tokenise(c: Column, options: TokeniseOptions = TokeniseOptions()) -> Column:
     if not options.lowercase:
         return parts
     plain = F.transform(parts, lambda x: F.lower(x))
-    return F.when(c.rlike(_BEYOND_ASCII), _lower_tokens(parts)).otherwise(plain)
+    return F.when(c.rlike(_BEYOND_ASCII), _lower_tokens(F.when(c.rlike(_BEYOND_ASCII), parts))).otherwise(plain)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -166,3 +147,18 @@ def _lower_letter(c: str) -> bool:
 def letters(s: str) -> str:
     """ASCII letters of a text in upper case."""
     return re.sub("[^A-Z]", "", re.sub("[a-z]+", lambda m: m[0].upper(), s))
+
+
+def py_normalise(s: str, o: NormalisationOptions) -> str:
+    """``normalise`` of a Python string."""
+    if o.strip_diacritics:
+        s = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn"))
+    elif o.nfc:
+        s = unicodedata.normalize("NFC", s)
+    if o.split_camel_case:
+        s = "".join((" " if i and _upper(c) and _lower_letter(s[i - 1]) else "") + c for i, c in enumerate(s))
+    if o.lowercase:
+        s = _simple_lower(s)
+    if o.strip_separators:
+        s = re.sub("[" + re.escape(o.separator_chars) + " \t\n\r\x0b\x0c]+", " ", s).strip(" ")
+    return s

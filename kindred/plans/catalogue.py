@@ -1,4 +1,182 @@
-"""Queries over the driver's tables, one per operator, with the SQL that must agree."""
+"""Queries over the driver's tables, one per operator, with the SQL that must agree.
+
+Pairs come from part names that share a brand, by an equi-join on the brand.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import similarity as sim
+from ..functions.text import grams, normalise, tokenise
+from ..operators import scan
+from ..operators.scorer import ScorerBuilder, default_scorer
+from ..operators.validate import algorithm_name, kind_name, validate
+from ..sources import items_from
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (a, b), a < b, of part names under one brand."""
+    names = _table(spark, sf_dir, "part").select("p_brand", "p_name").distinct()
+    x, y = names.select("p_brand", F.col("p_name").alias("a")), names.select(F.col("p_brand").alias("q_brand"), F.col("p_name").alias("b"))
+    return x.join(y, (F.col("p_brand") == F.col("q_brand")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+
+
+_PAIRS = """WITH n AS (SELECT DISTINCT p_brand, p_name FROM part),
+p AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM n x JOIN n y ON x.p_brand = y.p_brand AND x.p_name < y.p_name)
+"""
+_GRAMS = "list_transform(range(1, greatest(length({0}) - 2, 0) + 1), lambda i: substr({0}, i, 3))"
+_G = (
+    _PAIRS
+    + ", g AS (SELECT a, b, "
+    + _GRAMS.format("a")
+    + " AS ga, "
+    + _GRAMS.format("b")
+    + """ AS gb FROM p),
+c AS (SELECT a, b, ga, gb, len(ga) AS na, len(gb) AS nb, coalesce(list_sum(list_transform(list_distinct(list_intersect(ga, gb)),
+ lambda t: least(len(list_filter(ga, lambda x: x = t)), len(list_filter(gb, lambda x: x = t))))), 0)::INT AS i FROM g)
+"""
+)
+_EDGE = "CASE WHEN a = b OR (na = 0 AND nb = 0) THEN 1.0 WHEN na = 0 OR nb = 0 THEN 0.0 ELSE {} END::DOUBLE"
+_NORM = "list_sum(list_transform(list_distinct({0}), lambda t: len(list_filter({0}, lambda x: x = t)) ** 2))"
+_DOT = "coalesce(list_sum(list_transform(list_distinct(list_intersect(ga, gb)), lambda t: len(list_filter(ga, lambda x: x = t)) * len(list_filter(gb, lambda x: x = t)))), 0)::DOUBLE"
+
+
+def _pair_query(name: str, column, sql: str | None = None, head: str = _PAIRS, source: str = "p") -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return name_pairs(spark, sf_dir).select("a", "b", column(F.col("a"), F.col("b")).alias("value"))
+
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = f"{head} SELECT a, b, {sql} AS value FROM {source}"
+
+
+_ratio = "(CASE WHEN a = b THEN 1.0 ELSE 1.0::DOUBLE - {}::DOUBLE / greatest(strlen(a), strlen(b))::DOUBLE END)::DOUBLE"
+_ham = "CASE WHEN strlen(a) = strlen(b) THEN hamming(a, b) ELSE greatest(strlen(a), strlen(b)) END"
+_tok = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[-_.:/ \\t\\n\\r]'), lambda x: x <> ''))"
+_prefix = "(CASE " + " ".join(f"WHEN substr(a, 1, {k}) = substr(b, 1, {k}) AND least(length(a), length(b)) >= {k} THEN {k}" for k in (4, 3, 2, 1)) + " ELSE 0 END)::DOUBLE"
+_jw = f"(CASE WHEN a = b THEN 1.0 WHEN jaro_similarity(a, b) >= 0.7 THEN jaro_similarity(a, b) + ({_prefix} * 0.1::DOUBLE) * (1.0::DOUBLE - jaro_similarity(a, b)) ELSE jaro_similarity(a, b) END)::DOUBLE"
+_pair_query("levenshtein_distance", sim.levenshtein_distance, "levenshtein(a, b)::INT")
+_pair_query("levenshtein_distance_runes", lambda a, b: sim.levenshtein_distance(a, b, True), "levenshtein(a, b)::INT")
+_pair_query("levenshtein_score", sim.levenshtein_score, _ratio.format("levenshtein(a, b)"))
+_pair_query("damerau_full_distance", sim.damerau_distance, "damerau_levenshtein(a, b)::INT")
+_pair_query("damerau_full_score", sim.damerau_score, _ratio.format("damerau_levenshtein(a, b)"))
+_pair_query("hamming_distance", sim.hamming_distance, f"({_ham})::INT")
+_pair_query("hamming_score", sim.hamming_score, "CASE WHEN a = b THEN 1.0 WHEN strlen(a) <> strlen(b) THEN 0.0 ELSE 1.0::DOUBLE - hamming(a, b)::DOUBLE / strlen(a)::DOUBLE END::DOUBLE")
+_pair_query("jaro_score", sim.jaro_score, "jaro_similarity(a, b)::DOUBLE")
+_pair_query("jaro_winkler_score", sim.jaro_winkler_score, _jw)
+_pair_query("q_gram_jaccard_score", sim.q_gram_jaccard_score, _EDGE.format("i::DOUBLE / (na + nb - i)::DOUBLE"), _G, "c")
+_pair_query("sorensen_dice_score", sim.sorensen_dice_score, _EDGE.format("2.0::DOUBLE * i::DOUBLE / (na + nb)::DOUBLE"), _G, "c")
+_pair_query("cosine_score", sim.cosine_score, _EDGE.format(f"least(1.0::DOUBLE, {_DOT} / (sqrt({_NORM.format('ga')}::DOUBLE) * sqrt({_NORM.format('gb')}::DOUBLE)))"), _G, "c")
+_pair_query("tversky_score", lambda a, b: sim.tversky_score(a, b, 3, 0.75, 0.25), _EDGE.format("CASE WHEN i = 0 THEN 0.0 ELSE i::DOUBLE / (i::DOUBLE + 0.75::DOUBLE * (na - i)::DOUBLE + 0.25::DOUBLE * (nb - i)::DOUBLE) END"), _G, "c")
+_pair_query(
+    "token_jaccard_score",
+    sim.token_jaccard_score,
+    f"CASE WHEN a = b THEN 1.0 ELSE len(list_intersect({_tok.format('a')}, {_tok.format('b')}))::DOUBLE / len(list_distinct(list_concat({_tok.format('a')}, {_tok.format('b')})))::DOUBLE END::DOUBLE",
+)
+for _name, _column in (
+    ("osa_distance", sim.osa_distance), ("osa_score", sim.osa_score), ("strcmp95_score", sim.strcmp95_score),
+    ("smith_waterman_gotoh_score", sim.smith_waterman_gotoh_score), ("smith_waterman_gotoh_raw_score", sim.smith_waterman_gotoh_raw_score),
+    ("longest_common_substring", sim.longest_common_substring), ("lcs_str_score", sim.lcs_str_score), ("ratcliff_obershelp_score", sim.ratcliff_obershelp_score),
+    ("token_sort_ratio_score", sim.token_sort_ratio_score), ("token_set_ratio_score", sim.token_set_ratio_score), ("partial_ratio_score", sim.partial_ratio_score),
+    ("monge_elkan_score", sim.monge_elkan_score), ("monge_elkan_score_asymmetric", sim.monge_elkan_score_asymmetric), ("soundex_score", sim.soundex_score),
+    ("double_metaphone_score", sim.double_metaphone_score), ("nysiis_score", sim.nysiis_score), ("mra_score", sim.mra_score),
+    ("mra_compare_similarity", lambda a, b: sim.mra_compare(a, b)["sim"]),
+    ("default_score", lambda a, b: default_scorer().score(a, b)),
+    ("default_match", lambda a, b: default_scorer().match(a, b)),
+):
+    _pair_query(_name, _column)
+
+
+def _text_query(name: str, column, sql: str | None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        urls = _table(spark, sf_dir, "pages").select(F.col("url").alias("s"))
+        names = _table(spark, sf_dir, "customer").select(F.col("c_name").alias("s"))
+        return urls.unionByName(names).distinct().select("s", column(F.col("s")).alias("value"))
+
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = f"SELECT s, {sql} AS value FROM (SELECT url AS s FROM pages UNION SELECT c_name FROM customer)"
+
+
+def _joined(c: Column) -> Column:
+    return F.array_join(c, "|")
+
+
+_text_query("normalise", normalise, r"trim(regexp_replace(lower(regexp_replace(s, '([a-z])([A-Z])', '\1 \2', 'g')), '[-_.:/ \t\n\r\v\f]+', ' ', 'g'))")
+_text_query("tokenise", lambda s: _joined(tokenise(s)), r"lower(array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(s, '([^A-Z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[-_.:/ \t\n\r]'), lambda x: x <> ''), '|'))")
+_text_query("q_grams", lambda s: _joined(grams(s, 3)), "array_to_string(" + _GRAMS.format("s") + ", '|')")
+_text_query("soundex_code", sim.soundex_code, None)
+_text_query("nysiis_code", sim.nysiis_code, None)
+_text_query("double_metaphone_keys", lambda s: F.concat_ws("|", sim.double_metaphone_keys(s)["primary"], sim.double_metaphone_keys(s)["secondary"]), None)
+_text_query("mra_code", sim.mra_code, None)
+
+
+def validate_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = name_pairs(spark, sf_dir).select(F.explode(validate("a", "b")).alias("w"))
+    return w.groupBy(algorithm_name(F.col("w.algorithm")).alias("algorithm"), kind_name(F.col("w.kind")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["validate_kinds"] = validate_kinds
+ORACLE_SQL["validate_kinds"] = _PAIRS + "SELECT 'Hamming' AS algorithm, 'WarnUnequalLength' AS kind, count(*) AS n FROM p WHERE strlen(a) <> strlen(b) HAVING count(*) > 0"
+
+
+def native_scorer():
+    """Two measures that need no Python."""
+    return ScorerBuilder().with_threshold(0.6).with_algorithm("Levenshtein", 1).with_algorithm("TokenJaccard", 1).build()
+
+
+def part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct part names as items, grouped by brand, placed by their first key."""
+    parts = _table(spark, sf_dir, "part").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("first"))
+    return items_from(parts, "p_name", "p_brand", order="first")
+
+
+def _scan_query(name: str, config, sql: str | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return scan.check(part_items(spark, sf_dir), config()).select("kind", "name_a", "name_b", "group_a", "group_b", "score")
+
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+_SCAN = (
+    """WITH i AS (SELECT p_name AS name, p_brand AS grp, lower(trim(p_name)) AS norm, min(p_partkey) AS idx FROM part GROUP BY 1, 2, 3),
+z AS (SELECT *, count(*) OVER (PARTITION BY grp) AS gsize, count(*) OVER () AS total, """
+    + _tok.format("norm")
+    + """ AS tok FROM i),
+c AS (SELECT 1 AS k, a.name AS na, b.name AS nb, a.grp AS ga, b.grp AS gb, a.norm AS p, b.norm AS q, a.tok AS tp, b.tok AS tq FROM z a JOIN z b ON a.grp = b.grp AND a.idx < b.idx
+   WHERE a.gsize <= 50 OR len(list_intersect(a.tok, b.tok)) > 0
+ {cross}),
+s AS (SELECT *, 0.5::DOUBLE * (len(list_intersect(tp, tq))::DOUBLE / len(list_distinct(list_concat(tp, tq)))::DOUBLE)
+   + (0.5::DOUBLE * (CASE WHEN p = q THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(p, q)::DOUBLE / greatest(strlen(p), strlen(q))::DOUBLE END) + 0.0::DOUBLE) AS score FROM c)
+SELECT CASE WHEN k = 1 THEN 'WithinGroup' ELSE 'AcrossGroups' END AS kind, least(na, nb) AS name_a, greatest(na, nb) AS name_b,
+ CASE WHEN na > nb THEN gb ELSE ga END AS group_a, CASE WHEN na > nb THEN ga ELSE gb END AS group_b, score
+FROM s WHERE score >= CASE WHEN k = 1 THEN 0.6 ELSE 0.65 END {more}"""
+)
+_CROSS = """UNION ALL SELECT 2, a.name, b.name, a.grp, b.grp, a.norm, b.norm, a.tok, b.tok FROM z a JOIN z b ON a.grp < b.grp
+   WHERE (a.total <= 50 OR len(list_intersect(a.tok, b.tok)) > 0) {same}"""
+_scan_query("scan_parts", lambda: scan.ScanConfig(native_scorer()), _SCAN.format(cross="", more=""))
+_scan_query("scan_parts_across", lambda: scan.ScanConfig(native_scorer(), compare_across_groups=True), _SCAN.format(cross=_CROSS.format(same="AND a.norm <> b.norm"), more=""))
+_scan_query("scan_parts_across_identical", lambda: scan.ScanConfig(native_scorer(), compare_across_groups=True, compare_identical_across_groups=True), _SCAN.format(cross=_CROSS.format(same=""), more=""))
+
+
+def scan_parts_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan with pairs of equal first letter suppressed through a table of pairs."""
+    pairs = name_pairs(spark, sf_dir).filter(F.substring("a", 1, 1) == F.substring("b", 1, 1))
+    cfg = scan.ScanConfig(native_scorer(), suppressed_pairs=pairs)
+    return scan.check(part_items(spark, sf_dir), cfg).select("kind", "name_a", "name_b", "group_a", "group_b", "score")
+
+
+QUERIES["scan_parts_suppressed"] = scan_parts_suppressed
+ORACLE_SQL["scan_parts_suppressed"] = _SCAN.format(cross="", more="AND substr(na, 1, 1) <> substr(nb, 1, 1)")
+_scan_query("scan_parts_default_scorer", lambda: scan.ScanConfig.default())
