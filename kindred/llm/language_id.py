@@ -64,12 +64,12 @@ class Parser:
         self.classes[32] = 0
         for i, c in enumerate(letters):
             self.classes[c] = i + 1
-        tables, self.roots, at = [], [], 0
+        tables, self.starts, at = [], [], 0
         for f in folded:
             t = self._table(self.classes[f], at)
-            self.roots.append(at)
             tables.append(t)
             at += t.size
+            self.starts.append(at - self.width)
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.cost = np.array([math.log2(max(2, f.size)) for f in folded])
 
@@ -100,15 +100,17 @@ class Parser:
                     link[q] = link[cur] = clone
             last = cur
         w = self.width
-        root = np.full(w, at, np.int32)  # an unknown character is a phrase of its own
+        # between phrases: whatever comes starts one; an unknown character is a phrase of its own
+        between = at + len(nxt) * w
+        root = np.full(w, between, np.int32)
         for c, s in nxt[0].items():
             root[c] = at + s * w
-        t = np.repeat(~root[None, :], len(nxt), 0)
+        t = np.repeat(~root[None, :], len(nxt) + 1, 0)
         for s, d in enumerate(nxt):
             for c, to in d.items():
                 t[s, c] = at + to * w
-        t[:, self.other] = ~at
-        t[:, self.pad] = at
+        t[:, self.other] = ~between
+        t[:, self.pad] = between
         return t.ravel()
 
     def phrases(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,8 +130,8 @@ class Parser:
         for lo in range(0, len(grid), 4096):  # bounds the working set
             lanes = np.ascontiguousarray(grid[lo : lo + 4096].T).astype(np.int32)
             n = lanes.shape[1]
-            state = np.repeat(np.array(self.roots, np.int32)[:, None], n, 1)
-            count = np.ones_like(state)
+            state = np.repeat(np.array(self.starts, np.int32)[:, None], n, 1)
+            count = np.zeros_like(state)
             fail = np.empty_like(state)
             for c in lanes:
                 state += c
