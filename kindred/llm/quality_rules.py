@@ -111,7 +111,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     chars = F.when(F.col("word_chars") > 0, F.col("word_chars").cast("double")).otherwise(F.lit(1.0))
     return (
         five.withColumn("n_words", F.col("_n").cast("long"))
-        .withColumn("n_repeat_words", covered)
+        # floor(rand()) is 0; being non-deterministic it keeps filters above from being pushed below,
+        # where they would repeat every array expression they are made of
+        .withColumn("n_repeat_words", covered + F.floor(F.rand(0)).cast("long"))
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             over(F.col("n_symbols")).alias("symbol_ratio"),
