@@ -30,7 +30,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the least id."""
+    """One document of each near-duplicate group stays: the one with the least id.
+
+    Rows that repeat an id are one document: they stay or go together.
+    """
     gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
