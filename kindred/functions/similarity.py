@@ -148,48 +148,58 @@ def ratcliff_obershelp_score(a, b, runes: bool = False) -> Column:
 # --- grams --------------------------------------------------------------------
 
 
-def _numbered(g: Column) -> Column:
-    """Grams made distinct by their occurrence number, so set operations count repeats."""
-    return F.transform(g, lambda x, i: F.struct(x.alias("g"), F.size(F.filter(F.slice(g, F.lit(1), i), lambda o: o == x)).alias("k")))
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _gram_base(a, b, n: int, runes: bool):
+def _count(g: Column, t: Column) -> Column:
+    return F.size(F.filter(g, lambda o: o == t))
+
+
+def _gram_score(a, b, n: int, runes: bool, body) -> Column:
+    """``body(p, q)`` over the gram arrays, after the rules for equal texts and missing grams."""
     x, y = _both(a, b, runes)
-    p, q = grams(x, n), grams(y, n)
-    common = F.size(F.array_intersect(_numbered(p), _numbered(q)))
-    return x, y, p, q, common
+
+    def guarded(s: Column) -> Column:
+        p, q = s["p"], s["q"]
+        none, one = (F.size(p) == 0) & (F.size(q) == 0), (F.size(p) == 0) | (F.size(q) == 0)
+        return F.when(none, F.lit(1.0)).when(one, F.lit(0.0)).otherwise(body(p, q))
+
+    return _known(x, y, F.when(x == y, F.lit(1.0)).otherwise(_let(F.struct(grams(x, n).alias("p"), grams(y, n).alias("q")), guarded)))
 
 
-def _gram_guard(x, y, p, q, out: Column) -> Column:
-    return _known(x, y, F.when((x == y) | ((F.size(p) == 0) & (F.size(q) == 0)), F.lit(1.0)).when((F.size(p) == 0) | (F.size(q) == 0), F.lit(0.0)).otherwise(out))
+def _shared(p: Column, q: Column) -> Column:
+    """Grams in common, repeats counted; work goes only into grams that both have."""
+    return F.aggregate(F.array_intersect(p, q), F.lit(0), lambda s, t: s + F.least(_count(p, t), _count(q, t)))
 
 
 def q_gram_jaccard_score(a, b, n: int = 3, runes: bool = False) -> Column:
     S.check_params("QGramJaccard", {"n": n})
-    x, y, p, q, i = _gram_base(a, b, n, runes)
-    return _gram_guard(x, y, p, q, i / (F.size(p) + F.size(q) - i))
+    return _gram_score(a, b, n, runes, lambda p, q: _let(_shared(p, q), lambda i: i / (F.size(p) + F.size(q) - i)))
 
 
 def sorensen_dice_score(a, b, n: int = 3, runes: bool = False) -> Column:
     S.check_params("SorensenDice", {"n": n})
-    x, y, p, q, i = _gram_base(a, b, n, runes)
-    return _gram_guard(x, y, p, q, 2.0 * i / (F.size(p) + F.size(q)))
+    return _gram_score(a, b, n, runes, lambda p, q: 2.0 * _shared(p, q) / (F.size(p) + F.size(q)))
 
 
 def cosine_score(a, b, n: int = 3, runes: bool = False) -> Column:
     S.check_params("Cosine", {"n": n})
-    x, y, p, q, _ = _gram_base(a, b, n, runes)
-    count = lambda g, t: F.size(F.filter(g, lambda o: o == t)).cast("double")
-    norm = lambda g: F.sqrt(F.aggregate(F.array_distinct(g), F.lit(0.0), lambda s, t: s + count(g, t) * count(g, t)))
-    dot = F.aggregate(F.array_intersect(p, q), F.lit(0.0), lambda s, t: s + count(p, t) * count(q, t))
-    return _gram_guard(x, y, p, q, F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot / (norm(p) * norm(q)))))
+
+    def body(p: Column, q: Column) -> Column:
+        norm = lambda g: F.sqrt(F.aggregate(F.array_distinct(g), F.lit(0.0), lambda s, t: s + F.pow(_count(g, t).cast("double"), F.lit(2.0))))
+        dot = F.aggregate(F.array_intersect(p, q), F.lit(0.0), lambda s, t: s + _count(p, t) * _count(q, t).cast("double"))
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot / (norm(p) * norm(q))))
+
+    return _gram_score(a, b, n, runes, body)
 
 
 def tversky_score(a, b, n: int = 3, alpha: float = 1.0, beta: float = 1.0, runes: bool = False) -> Column:
     S.check_params("Tversky", {"n": n, "alpha": alpha, "beta": beta})
-    x, y, p, q, i = _gram_base(a, b, n, runes)
-    out = F.when(i == 0, F.lit(0.0)).otherwise(i / (i + F.lit(float(alpha)) * (F.size(p) - i) + F.lit(float(beta)) * (F.size(q) - i)))
-    return _gram_guard(x, y, p, q, out)
+    x, y = F.lit(float(alpha)), F.lit(float(beta))
+    ratio = lambda p, q: lambda i: F.when(i == 0, F.lit(0.0)).otherwise(i / (i + x * (F.size(p) - i) + y * (F.size(q) - i)))
+    return _gram_score(a, b, n, runes, lambda p, q: _let(_shared(p, q), ratio(p, q)))
 
 
 # --- tokens -------------------------------------------------------------------
@@ -197,9 +207,13 @@ def tversky_score(a, b, n: int = 3, alpha: float = 1.0, beta: float = 1.0, runes
 
 def token_jaccard_score(a, b) -> Column:
     a, b = _col(a), _col(b)
-    p, q = tokenise(a), tokenise(b)
-    union = F.size(F.array_union(p, q))
-    return _known(a, b, F.when((a == b) | (union == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(p, q)) / union))
+    both = F.struct(tokenise(a).alias("p"), tokenise(b).alias("q"))
+
+    def ratio(s: Column) -> Column:
+        union = F.size(F.array_union(s["p"], s["q"]))
+        return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(s["p"], s["q"])) / union)
+
+    return _known(a, b, F.when(a == b, F.lit(1.0)).otherwise(_let(both, ratio)))
 
 
 def token_sort_ratio_score(a, b) -> Column:

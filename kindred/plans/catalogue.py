@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions.text import grams, normalise, tokenise
 from ..operators import scan
-from ..operators.scorer import ScorerBuilder, default_scorer
+from ..operators.scorer import ScorerBuilder, default_scorer, default_scorer_builder
 from ..operators.validate import algorithm_name, kind_name, validate
 from ..sources import items_from
 
@@ -179,4 +179,4 @@ def scan_parts_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["scan_parts_suppressed"] = scan_parts_suppressed
 ORACLE_SQL["scan_parts_suppressed"] = _SCAN.format(cross="", more="AND substr(na, 1, 1) <> substr(nb, 1, 1)")
-_scan_query("scan_parts_default_scorer", lambda: scan.ScanConfig.default())
+_scan_query("scan_parts_default_scorer", lambda: scan.ScanConfig(default_scorer_builder().with_threshold(0.5).build()))
