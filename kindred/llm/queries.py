@@ -85,7 +85,34 @@ QUERIES = {
         op6_warc_round_trip, op7_line_dedup, op8_pii_boosting, op9_template_extraction, op10_best_fit_packing,
     )
 }
+#: Classes of equal sets first, then links between classes by shared shingles, then the least document reachable.
+_NEAR_SQL = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    o AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM w),
+    h AS (SELECT doc_id, i, n, concat_ws(' ', word, lead(word, 1) OVER d, lead(word, 2) OVER d, lead(word, 3) OVER d, lead(word, 4) OVER d) AS g
+          FROM o WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    f AS (SELECT DISTINCT doc_id, g FROM h WHERE i <= greatest(1, n - 4)),
+    s AS (SELECT doc_id, count(*) AS n, sha256(string_agg(g, chr(10) ORDER BY g)) AS s FROM f GROUP BY doc_id),
+    c AS (SELECT s, min(doc_id) AS rep, min(n) AS n FROM s GROUP BY s),
+    g AS (SELECT c.rep, c.n, f.g FROM c JOIN f ON f.doc_id = c.rep),
+    e AS (SELECT x.rep AS a, y.rep AS b FROM g x JOIN g y ON x.g = y.g AND x.rep <> y.rep
+          GROUP BY x.rep, y.rep, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+    r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    m AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+    k AS (SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(least(c.rep, m.low), c.rep, w.doc_id) AS component_id
+          FROM w LEFT JOIN s USING (doc_id) LEFT JOIN c ON s.s = c.s LEFT JOIN m ON m.a = c.rep)
+    SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM k"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_minhash_near_dedup": _NEAR_SQL,
+    "op6_warc_round_trip": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS top, from_hex(sha1(html))::BIT::VARCHAR AS bits FROM p),
+        e AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                (1 + list_sum(list_transform(range(1, 6), lambda j: substr(bits, 5 * i + j, 1)::INT * (2 ** (5 - j))::INT)))::INT, 1)), '') AS payload_digest FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id < top THEN top END AS refers_to FROM e""",
     "op5_kd_tree_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
