@@ -251,6 +251,7 @@ def exact_links(sets: list, percent: int) -> np.ndarray:
         x = np.zeros((n, min(4096, width - lo)), np.float32)
         x[owner[m], col[m] - lo] = 1
         share += x @ x.T
+    share = share.astype(np.float64)  # a hundred times a large count would not be whole in single precision
     hit = 100 * share >= percent * (size[:, None] + size[None, :] - share)
     a, b = np.nonzero(hit)
     return _forest(a, b, n)

@@ -27,7 +27,7 @@ BASE = {
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 #: Loose generators: recall first; the trees decide.
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}(?:\x20?[\[(](?:at|AT)[\])]\x20?|@)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]{1,63})+",
+    "email": r"[A-Za-z0-9._%+-]{1,64}(?:\x20?[\[(](?:at|AT)[\])]\x20?|@)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]{1,63})++",
     "phone": r"(?<![0-9A-Za-z])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){2,4}(?![0-9A-Za-z])",
     "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,128}(?![A-Za-z0-9_/+-])",
 }
@@ -94,10 +94,36 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "_t", *[F.filter(_located(p, HINT[k]), _checked(k)).alias(f"_b_{k}") for k, p in BASE.items()])
 
 
+def _swept(events: Column, payload: str) -> Column:
+    """Events (s, w, e, p) in order of start, with ``hit``: whether one overlaps another that has w = 0.
+
+    One pass up with the greatest end so far and one down with the least start, never all pairs.
+    """
+    empty = F.expr(f"cast(array() AS array<struct<s:int,w:int,e:int,p:{payload},hit:boolean>>)")
+
+    def passed(xs, first, edge, hit):
+        def step(a, x):
+            kept = F.struct(x["s"].alias("s"), x["w"].alias("w"), x["e"].alias("e"), x["p"].alias("p"), hit(a["at"], x).alias("hit"))
+            return F.struct(F.when(x["w"] == 0, edge(a["at"], x)).otherwise(a["at"]).alias("at"), F.array_append(a["out"], kept).alias("out"))
+
+        return F.aggregate(xs, F.struct(F.lit(first).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+
+    up = passed(F.array_sort(events), 0, lambda at, x: F.greatest(at, x["e"]), lambda at, x: at > x["s"])
+    return F.reverse(passed(F.reverse(up), 2**31 - 1, lambda at, x: F.least(at, x["s"]), lambda at, x: x["hit"] | (at < x["e"])))
+
+
+def _flagged(xs: Column, base: Column) -> Column:
+    """Array of (s, e, m, hit): the candidates, with whether they overlap a base span."""
+    event = lambda w: lambda x: F.struct(x["s"].alias("s"), F.lit(w).alias("w"), x["e"].alias("e"), x["m"].alias("p"))
+    swept = _swept(F.concat(F.transform(base, event(0)), F.transform(xs, event(1))), "string")
+    flag = lambda x, m, hit: F.struct(x["s"].alias("s"), x["e"].alias("e"), m.alias("m"), hit.alias("hit"))
+    held = F.transform(F.filter(swept, lambda x: x["w"] == 1), lambda x: flag(x, x["p"], x["hit"]))
+    return F.when((F.size(base) == 0) | (F.size(xs) == 0), F.transform(xs, lambda x: flag(x, x["m"], F.lit(False)))).otherwise(held)
+
+
 def _features(kind: str, x: Column) -> dict[str, Column]:
-    """Numbers about a candidate and the 24 characters before it."""
-    m = x["m"]
-    before = F.substr(F.col("_t"), F.greatest(F.lit(1), x["s"] - 23), F.least(x["s"], F.lit(24)))
+    """Numbers about a candidate and the characters before it."""
+    m, before = x["m"], x["before"]
     n, d = F.length(m), F.length(_digits(m))
     num = lambda c: F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
     return {
@@ -118,11 +144,17 @@ def _features(kind: str, x: Column) -> dict[str, Column]:
 
 
 def _candidates(spans: DataFrame) -> DataFrame:
-    """Adds per loose kind the candidates outside the base spans."""
-    taken = F.flatten(F.array(*[F.col(f"_b_{k}") for k in BASE]))
-    out = spans.withColumn("_base", taken)
+    """Adds ``_c_<kind>`` per loose kind: candidates as (s, e, hit, features), ``hit`` if one overlaps a base span.
+
+    Context and features are computed once a candidate, whatever number of trees reads them.
+    """
+    out = spans.withColumn("_base", F.flatten(F.array(*[F.col(f"_b_{k}") for k in BASE])))
+    before = lambda x: F.substr(F.col("_t"), F.greatest(F.lit(1), x["s"] - 23), F.least(x["s"], F.lit(24)))
     for k, p in LOOSE.items():
-        out = out.withColumn(f"_c_{k}", _located(p, LOOSE_HINT[k]))
+        out = out.withColumn(f"_l_{k}", _located(p, LOOSE_HINT[k])).withColumn(f"_f_{k}", _flagged(F.col(f"_l_{k}"), F.col("_base")))
+        seen = F.transform(f"_f_{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["hit"].alias("hit"), before(x).alias("before")))
+        rated = F.transform(seen, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["hit"].alias("hit"), *[v.cast("double").alias(n) for n, v in _features(k, x).items()]))
+        out = out.withColumn(f"_c_{k}", rated).drop(f"_l_{k}", f"_f_{k}")
     return out
 
 
@@ -130,17 +162,10 @@ def training_rows(docs: DataFrame, params: PiiParams) -> list[tuple]:
     """(features..., positive) of the candidates of a sample of documents chosen by hash of the id."""
     ids = docs.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample_docs).distinct()
     few = _candidates(base_spans(docs.join(F.broadcast(ids), "doc_id")))  # bounded by sample_docs
-    parts = []
-    for k in LOOSE:
-        one = few.select("_t", "_base", F.explode(f"_c_{k}").alias("x"))
-        sure = F.exists("_base", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))
-        f = _features(k, F.col("x"))
-        cue = f["label_cue"] > 0 if k != "email" else f["spelled"] > 0
-        parts.append(one.select(*[f[n].cast("double").alias(n) for n in FEATURES], (sure | cue).alias("y")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return [tuple(r) for r in rows.orderBy(*FEATURES, "y").limit(params.max_rows).collect()]
+    cue = lambda k: "label_cue" if k != "email" else "spelled"
+    rows = lambda k: F.transform(f"_c_{k}", lambda x: F.struct(*[x[n].alias(n) for n in FEATURES], (x["hit"] | (x[cue(k)] > 0)).alias("y")))
+    each = few.select(F.explode(F.concat(*[rows(k) for k in LOOSE])).alias("c")).select("c.*")
+    return [tuple(r) for r in each.orderBy(*FEATURES, "y").limit(params.max_rows).collect()]
 
 
 @dataclass(frozen=True)
@@ -209,15 +234,16 @@ def find(docs: DataFrame, model: Booster) -> DataFrame:
     """doc_id, base: array of (k, s, e), added: the selected candidates, clear of base spans and of one another."""
     c = _candidates(base_spans(docs))
     tag = lambda k: lambda x: F.struct(F.lit(ORDER.index(k)).alias("k"), x["s"].alias("s"), x["e"].alias("e"))
-    rated = lambda k: lambda x: F.struct((-model.score(_features(k, x))).alias("r"), F.lit(ORDER.index(k)).alias("k"), x["s"].alias("s"), x["e"].alias("e"))
-    scored = []
-    for k in LOOSE:
-        free = F.filter(f"_c_{k}", lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-        full = F.transform(free, rated(k))
-        scored.append(F.filter(full, lambda x: -x["r"] >= F.lit(model.threshold)))
+    span = lambda k: lambda x: F.struct((-model.score({n: x[n] for n in FEATURES})).alias("r"), F.lit(ORDER.index(k)).alias("k"), x["s"].alias("s"), x["e"].alias("e"))
+    scored = [F.transform(F.filter(f"_c_{k}", lambda x: ~x["hit"]), span(k)) for k in LOOSE]
+    c = c.withColumn("_good", F.filter(F.flatten(F.array(*scored)), lambda x: -x["r"] >= F.lit(model.threshold)))
+    event = lambda x: F.struct(x["s"].alias("s"), F.lit(0).alias("w"), x["e"].alias("e"), x.alias("p"))
+    c = c.withColumn("_swept", F.when(F.size("_good") > 0, _swept(F.transform("_good", event), "struct<r:double,k:int,s:int,e:int>")))
+    alone, rivals = (F.coalesce(F.transform(F.filter("_swept", lambda x: x["hit"] == F.lit(h)), lambda x: x["p"]), F.col("_good")) for h in (False, True))
     empty = F.expr("cast(array() AS array<struct<r:double,k:int,s:int,e:int>>)")
-    # best first; what overlaps a better one falls
-    pick = F.aggregate(F.array_sort(F.flatten(F.array(*scored))), empty, lambda a, x: F.when(F.exists(a, lambda o: (o["s"] < x["e"]) & (x["s"] < o["e"])), a).otherwise(F.array_append(a, x)))
+    # those that overlap: best first; what overlaps a better one falls
+    won = F.aggregate(F.array_sort(rivals), empty, lambda a, x: F.when(F.exists(a, lambda o: (o["s"] < x["e"]) & (x["s"] < o["e"])), a).otherwise(F.array_append(a, x)))
+    pick = F.concat(alone, won)
     base = F.flatten(F.array(*[F.transform(f"_b_{k}", tag(k)) for k in BASE]))
     return c.select("doc_id", *[F.size(f"_b_{k}").cast("long").alias(f"n_{k}") for k in BASE], base.alias("base"), F.transform(pick, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))).alias("added"))
 
