@@ -2,7 +2,8 @@
 
 A text is cut into lines; a physical line is folded after sentence ends, so a passage
 inside a paragraph has lines of its own. Of every ``window`` neighbouring line hashes the
-least is a fingerprint, so any repeated run of ``window`` lines shares one. Fingerprints
+least is a fingerprint, so any repeated run of ``window`` lines shares one; so is every line
+of ``min_words`` words or more, which may repeat between differing neighbours. Fingerprints
 are joined to their first position in the corpus, matches are extended both ways along
 the first document's lines, and runs of ``min_words`` words or more are deleted, but for
 their first occurrence.
@@ -36,8 +37,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     return one.select("doc_id", "v", F.transform("p", lambda s: F.xxhash64(s)).alias("h"), F.transform("p", lambda s: F.when(s == "", 0).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "))) + 1)).alias("w"))
 
 
-def _fingerprints(lines: DataFrame, window: int) -> DataFrame:
-    """(fp, doc_id, v, pos) of the window minima, each position once."""
+def _fingerprints(lines: DataFrame, params: LineParams) -> DataFrame:
+    """(fp, doc_id, v, pos) of the window minima and of the lines long enough to delete, each position once."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -50,7 +51,7 @@ def _fingerprints(lines: DataFrame, window: int) -> DataFrame:
             owner = np.repeat(np.arange(len(n)), n)
             u = flat.view(np.uint64)
             pick = np.zeros(len(flat), bool)
-            k = window
+            k = params.window
             if len(flat) >= k:  # windows inside one document; the rightmost least wins
                 wins = np.lib.stride_tricks.sliding_window_view(u, k)
                 inside = owner[: len(flat) - k + 1] == owner[k - 1 :]
@@ -59,12 +60,13 @@ def _fingerprints(lines: DataFrame, window: int) -> DataFrame:
             short = np.flatnonzero((n > 0) & (n < k))  # fewer lines than a window: the least of all
             for i in short:
                 pick[at[i] + int(u[at[i] : at[i + 1]].argmin())] = True
+            pick |= b.column(3).flatten().to_numpy() >= params.min_words
             sel = np.flatnonzero(pick)
             own = pa.array(owner[sel])
             yield pa.RecordBatch.from_arrays([pa.array(flat[sel]), b.column(0).take(own), b.column(1).take(own), pa.array((sel - at[owner[sel]]).astype(np.int32))], names=["fp", "doc_id", "v", "pos"])
 
     kind = lines.schema["doc_id"].dataType.simpleString()
-    return lines.select("doc_id", "v", "h").mapInArrow(run, f"fp long, doc_id {kind}, v long, pos int")
+    return lines.select("doc_id", "v", "h", "w").mapInArrow(run, f"fp long, doc_id {kind}, v long, pos int")
 
 
 def _extended(pairs: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def _extended(pairs: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """(doc_id, v, runs): the lines to delete of each version of a document, as [first, last) pairs."""
     lines = staged(_lines(docs).dropDuplicates(["doc_id", "v"]), "lines")
-    fps = staged(_fingerprints(lines, params.window), "fingerprints")
+    fps = staged(_fingerprints(lines, params), "fingerprints")
     first = staged(
         fps.groupBy("fp").agg(F.min(F.struct("doc_id", "v", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp", F.col("f.doc_id").alias("c"), F.col("f.v").alias("cv"), F.col("f.pos").alias("cpos")),
         "first",

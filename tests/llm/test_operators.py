@@ -221,6 +221,16 @@ def test_line_dedup(spark, docs, none):
     assert D.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_one_line(spark):
+    """A single long line between unrelated lines, longer or shorter than a fingerprint's window."""
+    rng = random.Random(9)
+    line = prose(rng, 60) + "."
+    rows = [(i, "\n".join([prose(rng, 12) + ".", line, prose(rng, 12) + "."]), None, None, 3, 7, "r") for i in range(40)]
+    got = D.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()
+    assert [r.doc_id for r in got if line in r.text] == [0]
+    assert all(len(WORD.findall(r.text)) == 24 for r in got if r.doc_id)
+
+
 SPANS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
