@@ -1,12 +1,12 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of stretches of lines.
 
 A text is cut into lines; a physical line is folded after sentence ends, so a passage
-inside a paragraph has lines of its own. Of every ``window`` neighbouring line hashes the
-least is a fingerprint, so any repeated run of ``window`` lines shares one; so is every line
-of ``min_words`` words or more, which may repeat between differing neighbours. Fingerprints
-are joined to their first position in the corpus, matches are extended both ways along
-the first document's lines, and runs of ``min_words`` words or more are deleted, but for
-their first occurrence.
+inside a paragraph has lines of its own. From every line on, and back from every line, the
+shortest stretch of ``min_words`` words or more is a fingerprint: a long line by itself, a
+short one together with its neighbours. Every line of a repeated run of ``min_words``
+words is in such a stretch inside the run, so stretches whose fingerprint has an earlier
+position are exactly what repeated runs cover, and nothing needs to be extended. They are
+deleted, but for their first position in the corpus.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, drop_staged, staged
+from .minhash import mix
 
 #: Between a line break, or a sentence end and its space, and what follows.
 FOLD = r"(?<=\n)|(?<=[.!?] )"
@@ -26,10 +27,12 @@ FOLD = r"(?<=\n)|(?<=[.!?] )"
 
 @dataclass(frozen=True)
 class LineParams:
-    window: int = 2
     min_words: int = 10
 
 
+_ODD, _GAP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, version of the text, line hashes (white space folded) and words per line."""
     pieces = F.split(F.col("text"), FOLD)
@@ -37,84 +40,94 @@ def _lines(docs: DataFrame) -> DataFrame:
     return one.select("doc_id", "v", F.transform("p", lambda s: F.xxhash64(s)).alias("h"), F.transform("p", lambda s: F.when(s == "", 0).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "))) + 1)).alias("w"))
 
 
+def _stretches(hashes: np.ndarray, words: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fp, start, end) of the shortest stretches of ``least`` words from and back from every line, as indexes of the lines with words.
+
+    Blank lines count between two lines of a stretch, by their number.
+    """
+    at = np.flatnonzero(words > 0)
+    own, n = owner[at], len(at)
+    total = np.concatenate([[0], np.cumsum(words[at], dtype=np.int64)])
+    i = np.arange(n)
+    ahead = np.searchsorted(total, total[:-1] + least, "left")  # end of the stretch from i
+    back = np.searchsorted(total, total[1:] - least, "right") - 1  # start of the stretch that ends with i
+    ok = ahead <= n
+    ok[ok] = own[ahead[ok] - 1] == own[ok]
+    too = back >= 0
+    too[too] = own[back[too]] == own[too]
+    too[too] = ahead[back[too]] != i[too] + 1  # the same stretch once
+    start, end = np.concatenate([i[ok], back[too]]), np.concatenate([ahead[ok], i[too] + 1])
+    gap = np.diff(at, prepend=at[:1]).astype(np.uint64) * _GAP
+    h = hashes[at].view(np.uint64)
+    fp = mix(h[start])
+    live, d = np.arange(len(start)), 1
+    while True:  # as many rounds as the longest stretch has lines with words, min_words at most
+        live = live[start[live] + d < end[live]]
+        if not live.size:
+            return fp.view(np.int64), start, end
+        k = start[live] + d
+        fp[live] = mix(fp[live] * _ODD + mix(h[k] + gap[k]))
+        d += 1
+
+
 def _fingerprints(lines: DataFrame, params: LineParams) -> DataFrame:
-    """(fp, doc_id, v, pos) of the window minima and of the lines long enough to delete, each position once."""
+    """(fp, doc_id, v, first, last) of the stretches; blank lines go with the line before them, leading ones with the first."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            hs = b.column(2)
-            flat, at = hs.flatten().to_numpy(), hs.offsets.to_numpy()
-            at = at - at[0]
-            n = np.diff(at)
-            owner = np.repeat(np.arange(len(n)), n)
-            u = flat.view(np.uint64)
-            pick = np.zeros(len(flat), bool)
-            k = params.window
-            if len(flat) >= k:  # windows inside one document; the rightmost least wins
-                wins = np.lib.stride_tricks.sliding_window_view(u, k)
-                inside = owner[: len(flat) - k + 1] == owner[k - 1 :]
-                best = np.arange(len(wins)) + k - 1 - wins[:, ::-1].argmin(1)
-                pick[best[inside]] = True
-            short = np.flatnonzero((n > 0) & (n < k))  # fewer lines than a window: the least of all
-            for i in short:
-                pick[at[i] + int(u[at[i] : at[i + 1]].argmin())] = True
-            pick |= b.column(3).flatten().to_numpy() >= params.min_words
-            sel = np.flatnonzero(pick)
-            own = pa.array(owner[sel])
-            yield pa.RecordBatch.from_arrays([pa.array(flat[sel]), b.column(0).take(own), b.column(1).take(own), pa.array((sel - at[owner[sel]]).astype(np.int32))], names=["fp", "doc_id", "v", "pos"])
+            ends = b.column(2).offsets.to_numpy().astype(np.int64)
+            ends = ends - ends[0]
+            owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            words = b.column(3).flatten().to_numpy()
+            fp, s, e = _stretches(b.column(2).flatten().to_numpy(), words, owner, params.min_words)
+            at = np.flatnonzero(words > 0)
+            lo = ends[owner[at]]
+            up = np.minimum(np.append(at, len(words))[1:], ends[owner[at] + 1])  # the next line with words, or the end of the text
+            down = at.copy()
+            head = np.concatenate([[True], owner[at][1:] != owner[at][:-1]])[: len(at)]
+            down[head] = lo[head]
+            own = pa.array(owner[at][s])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fp), b.column(0).take(own), b.column(1).take(own), pa.array((down[s] - lo[s]).astype(np.int32)), pa.array((up[e - 1] - lo[s]).astype(np.int32))],
+                names=["fp", "doc_id", "v", "first", "last"],
+            )
 
     kind = lines.schema["doc_id"].dataType.simpleString()
-    return lines.select("doc_id", "v", "h", "w").mapInArrow(run, f"fp long, doc_id {kind}, v long, pos int")
+    return lines.select("doc_id", "v", "h", "w").mapInArrow(run, f"fp long, doc_id {kind}, v long, first int, last int")
 
 
-def _extended(pairs: DataFrame) -> DataFrame:
-    """(doc_id, v, first, last) of repeated runs: each match extended both ways while line hashes agree."""
+def _merged(found: DataFrame) -> DataFrame:
+    """(doc_id, v, gone): one flag a line up to the last that goes, from the stretches [first, last) of each text."""
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
+        for b in batches:
             out = []
-            for d, v, c, cv, m, h, ch, w, least in zip(pdf["doc_id"], pdf["v"], pdf["c"], pdf["cv"], pdf["m"], pdf["h"], pdf["ch"], pdf["w"], pdf["least"]):
-                done: dict = {}
-                for x in sorted((r["pos"], r["cpos"]) for r in m):
-                    p, q = int(x[0]), int(x[1])
-                    if done.get(p - q, -1) >= p:
-                        continue
-                    lo = min(p, q)
-                    back = np.flatnonzero(h[p - lo : p][::-1] != ch[q - lo : q][::-1])
-                    a = p - (int(back[0]) if back.size else lo)
-                    hi = min(len(h) - p, len(ch) - q)
-                    ahead = np.flatnonzero(h[p : p + hi] != ch[q : q + hi])
-                    z = p + (int(ahead[0]) if ahead.size else hi)
-                    done[p - q] = z - 1
-                    if int(w[a:z].sum()) >= least:
-                        out.append((d, v, a, z))
-            yield pd.DataFrame(out, columns=["doc_id", "v", "first", "last"])
-
-    kind = pairs.schema["doc_id"].dataType.simpleString()
-    return pairs.mapInPandas(run, f"doc_id {kind}, v long, first int, last int")
-
-
-def repeated_runs(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """(doc_id, v, runs): the lines to delete of each version of a document, as [first, last) pairs."""
-    lines = staged(_lines(docs).dropDuplicates(["doc_id", "v"]), "lines")
-    fps = staged(_fingerprints(lines, params), "fingerprints")
-    first = staged(
-        fps.groupBy("fp").agg(F.min(F.struct("doc_id", "v", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp", F.col("f.doc_id").alias("c"), F.col("f.v").alias("cv"), F.col("f.pos").alias("cpos")),
-        "first",
-    )
-    later = fps.join(first, "fp").filter("NOT (doc_id = c AND v = cv AND pos = cpos)")
-    # positions of one document that match one first document: bounded by its own lines
-    pairs = staged(later.groupBy("doc_id", "v", "c", "cv").agg(F.collect_list(F.struct("pos", "cpos")).alias("m")), "matches")
-    own = lines.select("doc_id", "v", "h", "w")
-    theirs = lines.select(F.col("doc_id").alias("c"), F.col("v").alias("cv"), F.col("h").alias("ch"))
-    both = pairs.join(theirs, ["c", "cv"]).join(own, ["doc_id", "v"]).withColumn("least", F.lit(params.min_words))
-    runs = _extended(both).groupBy("doc_id", "v").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    out = staged(runs, "runs")
-    drop_staged(fps, first, pairs, lines)
+            for m in b.column(2):
+                r = m.values
+                first, last = r.field(0).to_numpy(), r.field(1).to_numpy()
+                step = np.bincount(first, minlength=last.max() + 1) - np.bincount(last, minlength=last.max() + 1)
+                out.append(np.cumsum(step)[:-1] > 0)
+            at = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            flags = pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), flags)], names=["doc_id", "v", "gone"])
+
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return found.mapInArrow(run, f"doc_id {kind}, v long, gone array<boolean>")
+
+
+def repeated_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
+    """(doc_id, v, gone): for each version of a document with later repeats, which of its lines go."""
+    fps = staged(_fingerprints(_lines(docs), params), "fingerprints")
+    least = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "v", "first")).alias("f"), F.count(F.lit(1)).alias("n"))
+    first = staged(least.filter("n > 1").select("fp", F.col("f.doc_id").alias("c"), F.col("f.v").alias("cv"), F.col("f.first").alias("cfirst")), "first")
+    later = fps.join(first, "fp").filter("NOT (doc_id = c AND v = cv AND first = cfirst)")
+    # stretches of one document: at most two a line
+    out = staged(_merged(later.groupBy("doc_id", "v").agg(F.collect_set(F.struct("first", "last")).alias("m"))), "gone")
+    drop_staged(fps, first)
     return out
 
 
@@ -125,14 +138,14 @@ def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame
     later repeat ends with an empty text. Rows that repeat an id and a text share their
     result; the first of equal positions is the least (doc_id, text hash, line).
     """
-    runs = repeated_runs(docs, params)
+    gone = repeated_lines(docs, params)
     cols = docs.columns
-    hit = docs.withColumn("_v", F.xxhash64("text")).join(runs.select(F.col("doc_id").alias("_d"), F.col("v").alias("_w"), F.col("runs").alias("_runs")), (F.col("doc_id") == F.col("_d")) & (F.col("_v") == F.col("_w")), "left")
-    kept = F.array_join(F.filter(F.split(F.col("text"), FOLD), lambda s, i: ~F.exists("_runs", lambda r: (r["first"] <= i) & (i < r["last"]))), "")
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(kept)
+    hit = docs.withColumn("_v", F.xxhash64("text")).join(gone.select(F.col("doc_id").alias("_d"), F.col("v").alias("_w"), F.col("gone").alias("_gone")), (F.col("doc_id") == F.col("_d")) & (F.col("_v") == F.col("_w")), "left")
+    kept = F.array_join(F.filter(F.split(F.col("text"), FOLD), lambda s, i: ~F.coalesce(F.get("_gone", i), F.lit(False))), "")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
     out = hit.withColumn("text", text)
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in cols])
 
 

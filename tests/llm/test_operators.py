@@ -231,6 +231,43 @@ def test_line_dedup_one_line(spark):
     assert all(len(WORD.findall(r.text)) == 24 for r in got if r.doc_id)
 
 
+def brute_kept(texts, least):
+    """Texts without the lines of runs of ``least`` words that occur at an earlier position, all pairs compared."""
+    fold = re.compile(r"(?<=\n)|(?<=[.!?] )")
+    cut = [fold.split(t) for t in texts]
+    lines = [[" ".join(WORD.findall(s)) for s in c] for c in cut]
+    out = []
+    for d, x in enumerate(lines):
+        gone = set()
+        for c in range(d + 1):
+            y = lines[c]
+            for shift in range(1 if c == d else 1 - len(y), len(x)):
+                run = []
+                for p in range(max(0, shift), min(len(x), len(y) + shift) + 1):
+                    if p < min(len(x), len(y) + shift) and x[p] == y[p - shift]:
+                        run.append(p)
+                        continue
+                    if sum(len(x[k].split()) for k in run) >= least:
+                        gone.update(run)
+                    run = []
+        out.append("".join(s for k, s in enumerate(cut[d]) if k not in gone))
+    return out
+
+
+def test_line_dedup_brute(spark):
+    """Runs of short and long lines over a small stock, so first positions of parts lie in unrelated documents."""
+    rng = random.Random(11)
+    stock = [prose(rng, rng.choice([1, 1, 2, 3, 5, 9, 10, 25])) + "." for _ in range(60)]
+    texts = [rng.choice(["\n", " "]).join(rng.choice(stock) if rng.random() < 0.5 else prose(rng, rng.randrange(1, 14)) + "." for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    texts += ["In. " + prose(rng, 12) + ".", *("\n".join([prose(rng, 12) + ".", "In.", texts[0], "So. So.", stock[3], "In."]) for _ in range(3)), *["So.\n" * 30] * 2]
+    texts += texts[20:24]
+    rows = [(i, t, None, None, 3, 7, "r") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in D.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    squeeze = lambda t: re.sub(r"\s+", " ", t).strip()
+    assert [squeeze(got[i]) for i in range(len(texts))] == [squeeze(t) for t in brute_kept(texts, 10)]
+    assert {got[i] for i in range(len(texts) - 4, len(texts)) if len(WORD.findall(texts[i])) >= 10} == {""}
+
+
 SPANS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
