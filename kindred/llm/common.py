@@ -61,11 +61,13 @@ def words(text: Column) -> Column:
     return F.filter(cut, lambda w: w != "")
 
 
-def min_label_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+def min_label_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of the undirected ``edges(a, b)``: ``(node, label)``, label the least node.
 
-    Each round takes the least label among neighbours, then jumps to that label's own
-    label, so paths shorten by powers. Rounds are joins and map-side combined minima;
+    Each round takes the least label among neighbours, hooks all nodes of one label to the
+    least label any of them saw, then jumps to that label's own label; it ends when no
+    label moves, as then no edge joins two labels. On paths and chains of shuffled ids the rounds
+    grow with the logarithm of their length. Rounds are joins and map-side combined minima;
     no adjacency list is ever gathered and nothing but one count goes to the driver.
     """
     both = staged(
@@ -73,18 +75,18 @@ def min_label_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
         f"{name}-edges",
     )
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0")
-    for i in range(1, max_rounds):
+    moved, i = 1, 0
+    while moved:
+        i += 1
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
+        seen = staged(labels.join(near, "node").select("node", "label", "near"), f"{name}-seen-{i}")
+        hook = seen.filter("near < label").groupBy("label").agg(F.min("near").alias("hook"))  # lower labels seen by any node of a label
+        low = seen.join(hook, "label", "left").select("node", "label", F.least("label", "near", "hook").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         new = staged(low.join(jump, "low").select("node", F.least("low", "far").alias("new"), (F.least("low", "far") < F.col("label")).alias("moved")), f"{name}-{i}")
         moved = new.filter("moved").limit(1).count()
-        drop_staged(labels)
+        drop_staged(labels, seen)
         labels = new.select("node", F.col("new").alias("label"))
         labels._kindred_path = new._kindred_path
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     drop_staged(both)
     return labels

@@ -150,6 +150,17 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 40: 40, 41: 40, 50: 40}
 
 
+def test_components_long_path(spark):
+    """Paths of shuffled ids, alone and with links to the three nearest: no bound on the rounds, one label each."""
+    rng = random.Random(5)
+    ids = rng.sample(range(10000), 3000)
+    edges = list(zip(ids, ids[1:]))
+    chain = rng.sample(range(20000, 30000), 1500)
+    edges += [(x, y) for d in (1, 2, 3) for x, y in zip(chain, chain[d:])]
+    got = {r.node: r.label for r in min_label_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(ids, min(ids)), **dict.fromkeys(chain, min(chain))}
+
+
 def test_top_k(spark):
     rng = np.random.RandomState(0)
     rows = [(i, [float(x) for x in rng.randn(6)]) for i in range(300)]
