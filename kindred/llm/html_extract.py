@@ -4,8 +4,8 @@ Tokens of a page are its tags with their place and its whole text nodes. Tokens
 occur equally often on each page of a host share an occurrence vector and form a class;
 classes on (nearly) all pages of a host nest by their order in the page into its
 template. What is left between template tokens are the slots. A slot's text is kept unless
-its enclosing markup says menu, header, footer, advert, form, comment or the like; inside
-article or main markup all text is kept, elsewhere text that is itself template goes.
+its enclosing markup says menu, header, footer, advert, form, comment or the like, and
+text that is itself template goes, inside article or main markup and elsewhere.
 Occurrence vectors are sums of hashes, so they combine before any shuffle; pages that are
 exact copies count once.
 """
@@ -163,12 +163,15 @@ def templates(pages: DataFrame, params: TemplateParams = TemplateParams()) -> Da
 
 
 def extract(html: str | None, template: set[int]) -> str:
-    """Text of the slots that are main content, a block a line."""
+    """Text of the slots that are main content, a block a line.
+
+    Where template text makes up half or more of the text in article or main markup, the
+    host holds near copies, and what they share there is content.
+    """
     blocks, _ = parse(html or "")
-    kept = [b for b in blocks if not b[2]]
-    if any(b[3] for b in kept):
-        return "\n".join(b[0] for b in kept if b[3])
-    return "\n".join(text for text, path, _, _ in kept if _hash(f"x{path}\x00{text}") not in template)
+    kept = [(text, main, _hash(f"x{path}\x00{text}") in template) for text, path, boiler, main in blocks if not boiler]
+    copies = 2 * sum(len(t) for t, main, same in kept if main and same) >= sum(len(t) for t, main, _ in kept if main)
+    return "\n".join(t for t, main, same in kept if not same or (main and copies))
 
 
 def main_text(pages: DataFrame, params: TemplateParams = TemplateParams()) -> DataFrame:

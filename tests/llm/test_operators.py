@@ -320,6 +320,17 @@ def test_html(spark):
     assert out[7].text == "" and out[8].text == "Only"
 
 
+def test_html_template_in_article(spark):
+    """Template text inside an article goes, content outside it stays, near copies keep what they share."""
+    page = lambda i: f"<body><div class=menu>Menu</div><article><h2>Teaser {i}</h2><p>Story {i} told at length</p><p>Read it all here</p></article><div><p>Long read {i} outside</p></div></body>"
+    copy = lambda i: f"<body><article><p>The very same long story told again</p><p>It goes on</p><p>Edit {i}</p></article></body>"
+    rows = [(i, "http://a.org/x", page(i)) for i in range(6)] + [(10 + i, "http://b.org/x", copy(i)) for i in range(6)]
+    out = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert out[i] == f"Teaser {i}\nStory {i} told at length\nLong read {i} outside"
+        assert out[10 + i] == f"The very same long story told again\nIt goes on\nEdit {i}"
+
+
 def test_packing(spark, docs, none):
     from kindred.llm.queries import tokenizer_path
     from tokenizers import Tokenizer
