@@ -20,13 +20,27 @@ from pyspark.sql.window import Window
 
 from .common import staged
 
-#: Texts of these characters alone have their pieces found here (normal form, case and class
-#: are the same for all tools); other texts go to the tokenizer whole.
-_PLAIN = r"[\x00-\x1b\x20-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027\u2030-\u205e]*"
+#: The cut below is that of this normal form and these pieces; a tokenizer file that states others encodes all texts whole.
+_KNOWN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+)
+#: Ranges of characters whose class is the same for all tools (no spaces beyond ASCII, no format characters, nothing unassigned).
+_RANGES = ((0x00, 0x1B), (0x20, 0x7E), (0xA1, 0xAC), (0xAE, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E))
 _PIECES = r"[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\u024f]+"
 _CACHE: dict = {}
 
 
+def plain_characters() -> str:
+    """The characters of the ranges whose lower case is one character that lies in them too.
+
+    Texts of these characters alone have their pieces found here; other texts go to the
+    tokenizer whole.
+    """
+    own = {chr(c) for lo, hi in _RANGES for c in range(lo, hi + 1)}
+    return "".join(sorted(c for c in own if c.lower() in own))
+
+
 class CachedTokenizer:
     """Token ids of whole texts as little-endian uint32 bytes; each distinct word and piece is encoded once.
 
@@ -35,6 +49,7 @@ class CachedTokenizer:
     """
 
     def __init__(self, path: str, limit: int = 250_000):
+        import json
         import os
         import re
 
@@ -45,7 +60,10 @@ class CachedTokenizer:
         self.bare = Tokenizer.from_file(path)  # for pieces that are cut and folded already
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.plain, self.pieces = re.compile(_PLAIN), re.compile(_PIECES)
+        stated = json.loads(self.tok.to_str())
+        cuts = [x.get("pattern", {}).get("Regex", "") for x in (stated.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.known = stated.get("normalizer") == _KNOWN[0] and cuts == [_KNOWN[1], ""] and not (stated.get("post_processor") or {})
+        self.plain, self.pieces = re.compile("[" + re.escape(plain_characters()) + "]*"), re.compile(_PIECES)
         self.words, self.old_words, self.ids, self.old_ids = {}, {}, {}, {}
 
     def whole(self, text: str) -> bytes:
@@ -90,7 +108,7 @@ class CachedTokenizer:
 
         cut, out = {}, [b""] * len(texts)
         for i, t in enumerate(texts):
-            if t and self.plain.fullmatch(t) and "<|" not in t and unicodedata.is_normalized("NFC", t):
+            if t and self.known and self.plain.fullmatch(t) and "<|" not in t and unicodedata.is_normalized("NFC", t):
                 cut[i] = t.lower().split()
             elif t:
                 out[i] = self.whole(t)
