@@ -6,6 +6,7 @@ characters, ``[^\\x20\\x09-\\x0D]+``, everywhere in this subpackage.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,14 +23,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach; a fresh local one only where none is named (tests)."""
+    """The folder every executor and the driver can reach.
+
+    Only where none is named and all runs in this one process (tests) is a folder made; a
+    cluster without one is an error, as each executor would write to its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="kindred-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends at the latest."""
+    path = f"{shared_dir(spark)}/kindred/{name}-{uuid.uuid4().hex}"
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -37,22 +57,35 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     being columnar, lets later readers prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kindred/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kindred_path = path  # for drop_staged
     return out
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def drop_staged(*frames: DataFrame) -> None:
     """Delete staged tables that no returned plan reads any more."""
     for df in frames:
         path = getattr(df, "_kindred_path", None)
         if path:
-            spark = df.sparkSession
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
 
 
 def words(text: Column) -> Column:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop_staged, staged
+from .common import SPACE, drop_staged, fresh, staged
 from .minhash import mix
 
 #: Between a line break, or a sentence end and its space, and what follows.
@@ -136,16 +136,18 @@ def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame
 
     Null texts and rows without an id stay as they are. A document whose every line is a
     later repeat ends with an empty text. Rows that repeat an id and a text share their
-    result; the first of equal positions is the least (doc_id, text hash, line).
+    result; the first of equal positions is the least (doc_id, text hash, line). Other columns
+    stay, whatever their names; an empty table gives an empty one.
     """
     gone = repeated_lines(docs, params)
     cols = docs.columns
-    hit = docs.withColumn("_v", F.xxhash64("text")).join(gone.select(F.col("doc_id").alias("_d"), F.col("v").alias("_w"), F.col("gone").alias("_gone")), (F.col("doc_id") == F.col("_d")) & (F.col("_v") == F.col("_w")), "left")
-    kept = F.array_join(F.filter(F.split(F.col("text"), FOLD), lambda s, i: ~F.coalesce(F.get("_gone", i), F.lit(False))), "")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    out = hit.withColumn("text", text)
+    v, d, w, g = fresh(docs, "_v", "_d", "_w", "_gone")
+    flags = gone.select(F.col("doc_id").alias(d), F.col("v").alias(w), F.col("gone").alias(g))
+    hit = docs.withColumn(v, F.xxhash64("text")).join(flags, (F.col("doc_id") == F.col(d)) & (F.col(v) == F.col(w)), "left")
+    kept = F.array_join(F.filter(F.split(F.col("text"), FOLD), lambda s, i: ~F.coalesce(F.get(g, i), F.lit(False))), "")
+    out = hit.withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(g).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in cols])
 
 
