@@ -1,28 +1,35 @@
 """WARC archives: a native writer with payload revisits, and a salvage reader.
 
-The writer makes WARC/1.1 records with Spark expressions and Spark's text writer, so
-it reaches any store Spark writes to. The reader checks every record (version line,
-lengths, terminator, block digest); after a failed check it looks for the next valid
-member or version line, goes on from there and logs the bytes it passed over.
+The writer makes WARC/1.1 records with Spark expressions, closes each in a gzip member of
+its own and hands them to Spark's text writer, so it reaches any store Spark writes to.
+The reader checks every record (version line, lengths, terminator, block digest); after a
+failed check it looks for the next valid member or version line, goes on from there and
+logs the bytes of the file it passed over.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from .common import drop_path, fresh_path, staged
 
 #: The record terminator, and the line end inside headers.
 END, NL = "\r\n\r\n", "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_MAGIC = b"\x1f\x8b\x08"
+_EMPTY = gzip.compress(b"", mtime=0)
+#: Most bytes one gzip member may open to before the reader counts it as damaged.
+MAX_OPENED = 1 << 30
 
 
 def base32_sha1(data: Column) -> Column:
@@ -42,7 +49,7 @@ def classified(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
     heads = p.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    joined = p.join(staged(heads, "heads"), "payload_digest", "left")
+    joined = p.join(staged(heads, "heads"), "payload_digest", "left")  # ids and digests only; small beside the pages
     refers = F.when((F.col("payload_bytes") >= min_bytes) & F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head")), F.col("head"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
@@ -66,68 +73,114 @@ def record(date: str = "2000-01-01T00:00:00Z") -> Column:
     )
 
 
-def write(classed: DataFrame, path: str, records_per_file: int = 2000, compression: str = "gzip") -> None:
-    """Archives of at most ``records_per_file`` records; ``compression`` none or gzip."""
-    classed.select(record().alias("value")).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+def member(record: bytes, level: int = 6) -> bytes:
+    """A gzip member of one record, without its last byte, which is zero.
+
+    That byte is the top of the record's length; from 16 MiB on, where it need not be zero, an
+    empty member follows and gives the zero.
+    """
+    z = gzip.compress(record, level, mtime=0)
+    return z[:-1] if z[-1] == 0 else z + _EMPTY[:-1]
+
+
+def write(classed: DataFrame, path: str, records_per_file: int = 2000, compression: str = "gzip", level: int = 6) -> None:
+    """Archives of at most ``records_per_file`` records; ``compression`` none or gzip, a member for each record.
+
+    The zero that ends every member is the text writer's line separator, so Spark's own
+    writer (and its commit protocol) puts binary archives in any store.
+    """
+    records = classed.select(F.concat(record(), F.lit(END)).alias("value"))
+    out = records.write
+    if compression == "gzip":
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for b in batches:
+                for lo in range(0, b.num_rows, 64):
+                    part = b.column(0).slice(lo, 64).cast(pa.binary()).to_pylist()
+                    yield pa.RecordBatch.from_arrays([pa.array([member(r, level) for r in part], pa.binary())], names=["value"])
+
+        out = records.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00")
+    else:
+        out = classed.select(record().alias("value")).write.option("lineSep", END)
+    out.option("compression", "none").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, dict | None, bytes, int, int]]:
-    """("record", headers, block, start, end) and ("gap", None, b"", start, end) in order of the bytes.
+    """("record", headers, block, first, end) and ("gap", None, b"", first, end), in bytes of the file.
 
-    Gzip input is opened member by member; a member that fails is a gap up to the next
-    member that opens, and positions count opened bytes after it. Plain input is read as it is.
+    Gzip input is opened member by member; after a member that fails the next one that
+    opens is looked for. What opens before a fault is kept. A gap is what lies between the
+    bytes of recovered records. Where a member holds several records, their places inside it
+    are known to the step that opened them.
     """
-    if data[:2] != b"\x1f\x8b":
-        yield from _records(data, 0)
+    if data[:3] != _MAGIC:
+        yield from _records(data)
         return
-    at, base = 0, 0
+    at = lost = 0  # bytes before ``lost`` are accounted for
     while at < len(data):
-        z, good = zlib.decompressobj(31), b""
+        if not data.startswith(_MAGIC, at):
+            nxt = data.find(_MAGIC, at + 1)
+            at = len(data) if nxt < 0 else nxt
+            continue
+        opened, marks, end, ok = _open(data, at)
+        sizes, places = [m[0] for m in marks], [m[1] for m in marks]
+        before = lambda k: places[bisect_right(sizes, k) - 1]  # noqa: E731  opened byte to a place at or before it
+        after = lambda k: end if k == len(opened) else places[bisect_left(sizes, k)]
+        for kind, headers, block, lo, hi in _records(opened):
+            if kind == "record":
+                first, last = (at if lo == 0 else max(lost, before(lo))), after(hi)
+                if lost < first:
+                    yield "gap", None, b"", lost, first
+                yield kind, headers, block, first, last
+                lost = last
+        if ok:
+            if not opened and lost == at:  # an empty member
+                lost = end
+            at = end
+            continue
+        at = data.find(_MAGIC, max(at + 1, min(lost, end)))
+        while at >= 0 and not _opens(data, at):
+            at = data.find(_MAGIC, at + 1)
+        at = len(data) if at < 0 else at
+    if lost < len(data):
+        yield "gap", None, b"", lost, len(data)
+
+
+def _open(data: bytes, at: int) -> tuple[bytes, list[tuple[int, int]], int, bool]:
+    """(opened bytes, (opened bytes so far, place in the file) by step, end, whether all was well) of the member at ``at``.
+
+    The window moves over the file, nothing is copied; at a fault the steps get finer
+    until the last byte that still opens.
+    """
+    z, out, place, step, view = zlib.decompressobj(31), bytearray(), at, 65536, memoryview(data)
+    marks = [(0, at)]
+    while not z.eof:
+        if place >= len(data) or len(out) > MAX_OPENED:
+            return bytes(out), marks, place, False
+        saved = z.copy()
         try:
-            good = z.decompress(data[at:]) + z.flush()
-            ok = z.eof
+            got = z.decompress(view[place : place + step], MAX_OPENED)
         except zlib.error:
-            ok, good = False, _partial(data[at:])
-        if good:
-            yield from _records(good, base)
-            base += len(good)
-        if ok:
-            at = len(data) - len(z.unused_data)
-            if z.unused_data and z.unused_data[:2] != b"\x1f\x8b":
-                nxt = data.find(b"\x1f\x8b\x08", at)
-                nxt = len(data) if nxt < 0 else nxt
-                yield "gap", None, b"", at, nxt
-                at = nxt
+            if step == 1:
+                return bytes(out), marks, place, False
+            z, step = saved, step // 16
             continue
-        nxt = data.find(b"\x1f\x8b\x08", at + 1)
-        while nxt >= 0 and not _opens(data, nxt):
-            nxt = data.find(b"\x1f\x8b\x08", nxt + 1)
-        nxt = len(data) if nxt < 0 else nxt
-        yield "gap", None, b"", at, nxt
-        at = nxt
+        place = min(len(data), place + step)
+        out += got
+        marks.append((len(out), place))
+    return bytes(out), marks, place - len(z.unused_data), True
 
 
 def _opens(data: bytes, at: int) -> bool:
     try:
-        return bool(zlib.decompressobj(31).decompress(data[at : at + 65536], 64))
+        return bool(zlib.decompressobj(31).decompress(memoryview(data)[at : at + 65536], 64))
     except zlib.error:
         return False
 
 
-def _partial(data: bytes) -> bytes:
-    """What opens of a member before its fault, fed in small steps."""
-    z, out = zlib.decompressobj(31), []
-    try:
-        for i in range(0, len(data), 512):
-            out.append(z.decompress(data[i : i + 512]))
-            if z.eof:
-                break
-    except zlib.error:
-        pass
-    return b"".join(out)
-
-
-def _records(data: bytes, base: int) -> Iterator[tuple]:
+def _records(data: bytes) -> Iterator[tuple]:
     at = gap = 0
     while at < len(data):
         got = _record(data, at)
@@ -137,11 +190,11 @@ def _records(data: bytes, base: int) -> Iterator[tuple]:
             continue
         headers, block, end = got
         if gap < at:
-            yield "gap", None, b"", base + gap, base + at
-        yield "record", headers, block, base + at, base + end
+            yield "gap", None, b"", gap, at
+        yield "record", headers, block, at, end
         at = gap = end
     if gap < len(data):
-        yield "gap", None, b"", base + gap, base + len(data)
+        yield "gap", None, b"", gap, len(data)
 
 
 def _record(data: bytes, at: int):
@@ -211,13 +264,21 @@ def read(spark, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write every page, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    import uuid
+    """Write every page, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
+    Raises if the archives hold a gap or not every row's record. Rows that repeat a page_id have a
+    record each; null ids and urls are written as such; an empty table gives no rows. Other
+    columns take no part. Archives at a ``path`` that is given stay, others are deleted.
+    """
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/kindred/warc-{uuid.uuid4().hex}"
-    write(classified(pages), path)
     kind = pages.schema["page_id"].dataType
-    back = read(spark, path).filter("kind = 'record'")
+    where = path or fresh_path(spark, "warc")
+    write(classified(pages), where)
     as_id = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
-    return back.select(as_id("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"))
+    back = staged(read(spark, where).select("kind", as_id("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to")), "read-back")
+    if path is None:
+        drop_path(spark, where)
+    ids = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("page_id"))).first()
+    if ids(back) != ids(pages):
+        raise RuntimeError("the archives do not give back every page")
+    return back.drop("kind")
