@@ -5,7 +5,9 @@ greedily into the longest pieces that occur in that text, and the language with
 least ``phrases * log2(reference length) / characters`` wins. Automata are dense
 transition tables, walked for all blocks of a batch at once, so each step is a few
 array operations. Long texts are cut into blocks of ``BLOCK`` characters that are
-parsed side by side: every character is parsed, a block end only ends a phrase.
+parsed side by side, each as if a phrase started with it; then each block is entered again
+with the state its predecessor ended in, until a phrase starts where one started before: from there
+both parses are one. The counts are those of one parse of the whole text.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ BLOCK = 1024
 @dataclass(frozen=True)
 class LangParams:
     docs_per_language: int = 64  # bound of the labelled sample, in documents ...
-    chars_per_language: int = 20_000  # ... and in characters of each language's reference
+    chars_per_language: int = 20_000  # ... and in characters of each language's reference, an equal share of each document
     alphabet: int = 61  # most frequent letters; others share one class
 
 
@@ -46,8 +48,16 @@ def reference_texts(docs: DataFrame, params: LangParams = LangParams(), training
     if chosen:
         for r in rows.filter(F.col("doc_id").isin(sorted(chosen))).select("doc_id", "lang", "text").collect():
             out.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
-    share = lambda v: max(1, params.chars_per_language // max(1, len(v)))
-    return {k: "\n".join(t[: 4 * share(v)] for _, t in sorted(v))[: params.chars_per_language] for k, v in sorted(out.items())}
+    return {k: "\n".join(_shares([t for _, t in sorted(v)], params.chars_per_language)) for k, v in sorted(out.items())}
+
+
+def _shares(texts: list[str], most: int) -> list[str]:
+    """Stretches of at most ``most`` characters in all: short texts whole, of the others equal stretches from their middle."""
+    left, share = most, 0
+    for i, n in enumerate(sorted(map(len, texts))):
+        share = left // (len(texts) - i)
+        left -= min(n, share)
+    return [t[max(0, (len(t) - share) // 2) :][:share] for t in texts]
 
 
 class Parser:
@@ -127,22 +137,68 @@ class Parser:
             flat[at : at + f.size] = self.classes[f]
             at += int(b) * BLOCK
         grid = flat.reshape(-1, BLOCK)
+        inner = np.concatenate([np.zeros(1, bool), owner[1:] == owner[:-1]])[: len(grid)]  # blocks that go on with a text
+        ends = np.empty((len(self.langs), len(grid)), np.int32)
+        counts = np.empty_like(ends)
         for lo in range(0, len(grid), 4096):  # bounds the working set
-            lanes = np.ascontiguousarray(grid[lo : lo + 4096].T).astype(np.int32)
-            n = lanes.shape[1]
-            state = np.repeat(np.array(self.starts, np.int32)[:, None], n, 1)
-            count = np.zeros_like(state)
-            fail = np.empty_like(state)
-            for c in lanes:
-                state += c
-                np.take(self.table, state, out=state, mode="clip")
-                np.right_shift(state, 31, out=fail)
-                count -= fail
-                state ^= fail
+            counts[:, lo : lo + 4096], ends[:, lo : lo + 4096] = self._walk(grid[lo : lo + 4096])
+        # blocks to enter again, with the state their predecessor ends in
+        again = [np.flatnonzero(inner)] * len(self.langs)
+        first, fresh = counts.copy(), ends.copy()
+        while any(a.size for a in again):
             for k in range(len(self.langs)):
-                out[k] += np.bincount(owner[lo : lo + 4096], weights=count[k], minlength=len(texts)).astype(np.int64)
+                moved = []
+                for lo in range(0, again[k].size, 4096):
+                    at = again[k][lo : lo + 4096]
+                    counts[k, at], last = self._enter(k, grid[at], ends[k, at - 1], first[k, at], fresh[k, at])
+                    moved.append(at[last != ends[k, at]])
+                    ends[k, at] = last
+                after = np.concatenate(moved) + 1 if moved else np.zeros(0, int)
+                again[k] = after[after < len(grid)][inner[after[after < len(grid)]]]
+        for k in range(len(self.langs)):
+            out[k] = np.bincount(owner, weights=counts[k], minlength=len(texts)).astype(np.int64)
         return out, sizes, letters
 
+    def _walk(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases, last state) per language and block, a phrase starting with each block."""
+        lanes = np.ascontiguousarray(grid.T).astype(np.int32)
+        state = np.repeat(np.array(self.starts, np.int32)[:, None], len(grid), 1)
+        count, fail = np.zeros_like(state), np.empty_like(state)
+        for c in lanes:
+            state += c
+            np.take(self.table, state, out=state, mode="clip")
+            np.right_shift(state, 31, out=fail)
+            count -= fail
+            state ^= fail
+        return count, state
+
+    def _enter(self, k: int, grid: np.ndarray, states: np.ndarray, count: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases, last state) of blocks entered with ``states`` in language k; ``count`` and ``last`` are those of a fresh start.
+
+        Both parses are walked together; where a phrase starts in both at one character, or both are
+        between phrases, the rest is the same.
+        """
+        n = len(grid)
+        mine, fresh = states.copy(), np.full(n, self.starts[k], np.int32)
+        more, less = np.zeros(n, np.int32), np.zeros(n, np.int32)  # phrases of both until they are one
+        out, end, live = count.copy(), last.copy(), np.arange(n)
+        for j in range(grid.shape[1]):
+            c = grid[live, j].astype(np.int32)
+            a, b = self.table[mine[live] + c], self.table[fresh[live] + c]
+            more[live] += a < 0
+            less[live] += b < 0
+            a, b = np.where(a < 0, ~a, a), np.where(b < 0, ~b, b)
+            mine[live], fresh[live] = a, b
+            one = a == b
+            done = live[one]
+            out[done] = count[done] + more[done] - less[done]
+            live = live[~one]
+            if not live.size:
+                return out, end
+        out[live] = count[live] + more[live] - less[live]
+        end[live] = mine[live]
+        return out, end
+
     def predict(self, texts: list) -> tuple[list, np.ndarray]:
         n, sizes, letters = self.phrases(["" if t is None else t for t in texts])
         if not self.langs:
@@ -186,8 +242,10 @@ def _parser(key: tuple, alphabet: int) -> Parser:
 def identify(docs: DataFrame, texts: dict[str, str], params: LangParams = LangParams(), out_lang: str = "lang_pred", out_score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and a score in [0, 1] (its share of inverse entropies).
 
-    Null texts and texts without a letter are ``und`` with score 0. All rows and columns
-    stay. Tasks get the reference texts (bounded by the parameters) and build the tables once.
+    Null texts and texts without a letter are ``und`` with score 0; so are all without reference
+    texts. Ties go to the first language in order. All rows, repeated ones too, and all columns
+    stay but for earlier ones of the two output names; an empty table gives an empty one. Tasks get the
+    reference texts (bounded by the parameters) and build the tables once.
     """
     key, alphabet = tuple(sorted(texts.items())), params.alphabet
     keep = [c for c in docs.columns if c not in (out_lang, out_score)]
