@@ -58,14 +58,16 @@ class DecisionList:
         return F.lit(self.default) if out is None else out.otherwise(F.lit(self.default))
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_position_bits: int = 4) -> DataFrame:
     """``doc_id``, the base counts and the learner's statistics of every whole text.
 
     A null text counts as an empty one: all counts 0, ratios 0. ``n_repeat_words``
     counts words inside five-word windows that occur twice or more in the text: the
-    window hashes are sorted with their positions in the low bits, so a repeated
-    window is one whose neighbour has the same high bits (49 bits or more of hash for
-    texts up to 32,768 words), and the covered words are gaps between positions, at most 5 each.
+    window hashes are sorted with their positions in the low bits (as many as the text needs,
+    ``min_position_bits`` at least), so a repeated window is one whose neighbour has the same high
+    bits; covered words are gaps between positions, at most 5 each. Neighbours with the same
+    high bits are compared word by word; where any two differ, the windows of that text
+    are sorted as strings instead, so the count is exact.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"))
@@ -81,13 +83,13 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     # an all-blank text splits into one empty word
     two = one.select(
-        "doc_id", "n_symbols", "word_chars", "_up", "_bar",
+        "doc_id", "_w0", "n_symbols", "word_chars", "_up", "_bar",
         F.when(F.col("word_chars") == 0, F.lit(0)).otherwise(F.size("_w0")).alias("_n"),
         F.transform("_w0", lambda w: F.xxhash64(w)).alias("_h"),
         F.size("_l").alias("_nl"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
     )
-    three = two.withColumn("_b", F.greatest(F.lit(4), F.ceil(F.log2(F.col("_n") + 1)).cast("int")))
+    three = two.withColumn("_b", F.greatest(F.lit(min_position_bits), F.ceil(F.log2(F.col("_n") + 1)).cast("int")))
     # sorted (window hash, position), the position in the low _b bits
     packed = F.expr(
         "CASE WHEN _n >= 6 THEN sort_array(transform(sequence(0, _n - 5), i -> "
@@ -95,35 +97,43 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "ELSE cast(array() AS array<bigint>) END"
     )
     four = three.withColumn("_s", packed)
-    twice = F.expr(
-        "CASE WHEN size(_s) < 2 THEN cast(array() AS array<bigint>) ELSE sort_array(transform(filter(sequence(0, size(_s) - 1), j -> "
+    place = "cast({0} & (shiftleft(1L, _b) - 1L) AS int)"
+    same = " AND ".join(f"_w0[{place.format('_s[j]')} + {d}] = _w0[{place.format('_s[j - 1]')} + {d}]" for d in range(5))
+    collide = f"size(_s) > 1 AND exists(sequence(1, greatest(1, size(_s) - 1)), j -> shiftright(_s[j], _b) = shiftright(_s[j - 1], _b) AND NOT ({same}))"
+    five = four.withColumn("_c", F.expr(collide))
+    hashed = (
+        "sort_array(transform(filter(sequence(0, size(_s) - 1), j -> "
         "(j > 0 AND shiftright(_s[j], _b) = shiftright(_s[greatest(j - 1, 0)], _b)) OR "
         "(j < size(_s) - 1 AND shiftright(_s[j], _b) = shiftright(_s[least(j + 1, size(_s) - 1)], _b))), "
-        "j -> _s[j] & (shiftleft(1L, _b) - 1L))) END"
+        "j -> _s[j] & (shiftleft(1L, _b) - 1L)))"
     )
-    five = four.withColumn("_p", twice).withColumn("_d", F.size(F.array_distinct("_h")))
+    spelled = (
+        "transform(array(sort_array(transform(sequence(0, _n - 5), i -> struct(concat_ws(' ', _w0[i], _w0[i + 1], _w0[i + 2], _w0[i + 3], _w0[i + 4]) AS g, cast(i AS bigint) AS i)))), v -> "
+        "sort_array(transform(filter(sequence(0, size(v) - 1), j -> (j > 0 AND v[j].g = v[greatest(j - 1, 0)].g) OR (j < size(v) - 1 AND v[j].g = v[least(j + 1, size(v) - 1)].g)), j -> v[j].i)))[0]"
+    )
+    six = five.withColumn("_p", F.expr(f"CASE WHEN size(_s) < 2 THEN cast(array() AS array<bigint>) WHEN _c THEN {spelled} ELSE {hashed} END")).withColumn("_d", F.size(F.array_distinct("_h")))
     covered = F.expr(
         "CASE WHEN size(_p) = 0 THEN 0L ELSE 5L + aggregate(sequence(1, size(_p)), 0L, (a, j) -> "
         "a + CASE WHEN j < size(_p) THEN least(5L, _p[least(j, size(_p) - 1)] - _p[j - 1]) ELSE 0L END) END"
     )
+    counts = F.struct(
+        "doc_id", F.col("_n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"),
+        F.col("_nl").alias("_nl"), F.col("_up").alias("_up"), F.col("_bar").alias("_bar"), F.col("_d").alias("_d"),
+    )
+    # a generated row: filters on the result stay above it and don't repeat the array expressions
+    done = six.select(F.inline(F.array(counts)))
     n = F.col("n_words").cast("double")
     over = lambda a: F.when(F.col("n_words") > 0, a.cast("double") / n).otherwise(F.lit(0.0))
     chars = F.when(F.col("word_chars") > 0, F.col("word_chars").cast("double")).otherwise(F.lit(1.0))
-    return (
-        five.withColumn("n_words", F.col("_n").cast("long"))
-        # floor(rand()) is 0; being non-deterministic it keeps filters above from being pushed below,
-        # where they would repeat every array expression they are made of
-        .withColumn("n_repeat_words", covered + F.floor(F.rand(0)).cast("long"))
-        .select(
-            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            over(F.col("n_symbols")).alias("symbol_ratio"),
-            over(F.col("word_chars")).alias("mean_word_chars"),
-            F.when(F.col("_nl") > 0, F.col("n_dup_lines").cast("double") / F.col("_nl")).otherwise(F.lit(0.0)).alias("dup_line_ratio"),
-            over(F.col("n_repeat_words")).alias("repeat_word_ratio"),
-            (F.col("_up").cast("double") / chars).alias("upper_ratio"),
-            over(F.col("_bar")).alias("bar_ratio"),
-            over(F.col("_d")).alias("distinct_word_ratio"),
-        )
+    return done.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        over(F.col("n_symbols")).alias("symbol_ratio"),
+        over(F.col("word_chars")).alias("mean_word_chars"),
+        F.when(F.col("_nl") > 0, F.col("n_dup_lines").cast("double") / F.col("_nl")).otherwise(F.lit(0.0)).alias("dup_line_ratio"),
+        over(F.col("n_repeat_words")).alias("repeat_word_ratio"),
+        (F.col("_up").cast("double") / chars).alias("upper_ratio"),
+        over(F.col("_bar")).alias("bar_ratio"),
+        over(F.col("_d")).alias("distinct_word_ratio"),
     )
 
 
@@ -137,9 +147,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, params: RuleParams) -> l
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_fit_rows)
     few = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by max_fit_rows
     s = statistics(few).join(F.broadcast(ids), "doc_id")
-    # no filter in the plan: pushed below the projections it would repeat every expression it is made of
-    got = s.select(base_failed().alias("failed"), "doc_id", *FEATURES, (F.col("quality") <= 0).alias("low")).collect()
-    return [tuple(r)[1:] for r in got if not r["failed"]]
+    return [tuple(r) for r in s.filter(~base_failed()).select("doc_id", *FEATURES, (F.col("quality") <= 0).alias("low")).collect()]
 
 
 def learn(rows: list[tuple], params: RuleParams = RuleParams()) -> DecisionList:
@@ -222,7 +230,8 @@ def _pruned(terms: list, rows: list[tuple]) -> list:
 def apply_rules(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """One row per document: ids, base counts, ``base_failed`` and ``kept``.
 
-    Null or empty texts have no words and so fail the base test. Repeated rows give repeated rows.
+    Null or empty texts have no words and so fail the base test. Repeated rows give repeated rows,
+    an empty table none; other columns take no part.
     """
     s = statistics(docs)
     failed = base_failed()
