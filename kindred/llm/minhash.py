@@ -110,7 +110,7 @@ def signatures(sets: list, params: NearParams) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(docs: DataFrame, params: NearParams) -> DataFrame:
-    """doc_id, n, fp1, fp2 (a fingerprint of the set), sig, bands; one row per document."""
+    """doc_id, tv (a hash of the text), n, fp1, fp2 (a fingerprint of the set), sig, bands; one row per row."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -133,12 +133,12 @@ def _signed(docs: DataFrame, params: NearParams) -> DataFrame:
                     for j, i in enumerate(full):
                         sig[i], bands[i] = packed[j].tobytes(), keys[j].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "fp1", "fp2", "sig", "bands"],
+                    [part.column(0), part.column(2), pa.array(n), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "tv", "n", "fp1", "fp2", "sig", "bands"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, fp1 long, fp2 long, sig binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tv")).mapInArrow(run, f"doc_id {kind}, tv long, n long, fp1 long, fp2 long, sig binary, bands array<long>")
 
 
 def _blocked(rows: DataFrame, key: str, ident: str, block: int) -> DataFrame:
@@ -193,8 +193,11 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = m
 
 
-def _candidates(bands: DataFrame, params: NearParams) -> DataFrame:
-    """Edges (a, b): spanning forests, per bucket block, of pairs whose estimate comes near the threshold."""
+def _candidates(classes: DataFrame, params: NearParams) -> DataFrame:
+    """Edges (a, b): spanning forests, per bucket block, of pairs whose estimate comes near the threshold.
+
+    Band keys meet without signatures; only classes in a bucket of two or more fetch theirs.
+    """
     perms, floor = params.bands * params.rows, params.percent / 100 - params.slack
     chance = 2.0**-params.bits  # two different minima agree in their low bits this often
     need = (floor * (1 - chance) + chance) * perms
@@ -229,8 +232,10 @@ def _candidates(bands: DataFrame, params: NearParams) -> DataFrame:
             if out:
                 yield pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])})
 
-    dealt = _blocked(bands, "k", "rep", params.block).select("k", "bi", "bj", "rep", "sig")
-    return dealt.repartition("k", "bi", "bj").sortWithinPartitions("k", "bi", "bj").mapInPandas(run, "a long, b long")
+    kind = classes.schema["rep"].dataType.simpleString()
+    shared = _blocked(classes.select("c", F.explode("bands").alias("k")), "k", "c", params.block).select("k", "bi", "bj", "c")
+    dealt = shared.join(classes.select("c", "rep", "sig"), "c").select("k", "bi", "bj", "rep", "sig")
+    return dealt.repartition("k", "bi", "bj").sortWithinPartitions("k", "bi", "bj").mapInPandas(run, f"a {kind}, b {kind}")
 
 
 def exact_links(sets: list, percent: int) -> np.ndarray:
@@ -258,8 +263,14 @@ def exact_links(sets: list, percent: int) -> np.ndarray:
 
 
 def _confirmed(members: DataFrame, docs: DataFrame, params: NearParams) -> DataFrame:
-    """Edges (a, b) of true links: spanning forests per block pair of each candidate group."""
-    text = docs.select("doc_id", "text").join(members.select("doc_id", "g", "rep", "n", "bi", "bj"), "doc_id")
+    """Edges (a, b) of true links: spanning forests per block pair of each candidate group.
+
+    The text of a class is that of one of its rows, found by id and text hash; rows
+    repeating both are the same set.
+    """
+    texts = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("tv"), "text")
+    text = texts.join(members.select("rep", "tv", "g", "c", "bi", "bj"), ["rep", "tv"])
+    kind = members.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -268,7 +279,7 @@ def _confirmed(members: DataFrame, docs: DataFrame, params: NearParams) -> DataF
         for pdf in _groups(batches, key):
             at, a, b = _bounds(pdf, key), [], []
             for s, e in zip(at[:-1], at[1:]):
-                part = pdf.iloc[s:e].drop_duplicates("rep")
+                part = pdf.iloc[s:e].drop_duplicates("c")
                 ids = part["rep"].to_numpy()
                 root = exact_links(shingle_sets(part["text"].tolist(), params.shingle), params.percent)
                 m = root != np.arange(len(ids))
@@ -276,28 +287,34 @@ def _confirmed(members: DataFrame, docs: DataFrame, params: NearParams) -> DataF
                 b.append(ids[root[m]])
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return text.select("g", "bi", "bj", "rep", "text").repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj").mapInPandas(run, "a long, b long")
+    return text.select("g", "bi", "bj", "c", "rep", "text").repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj").mapInPandas(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Documents
-    are told apart by doc_id (a null id forms no link); repeated rows share their class. Ties
-    go to the least id.
+    are told apart by doc_id, of any type (a null id forms no link); rows that repeat an id are one
+    document, which is linked by each of its texts. Ties go to the least id. An empty table
+    gives an empty one; other columns take no part.
     """
     signed = staged(_signed(docs, params), "signed")
     full = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = staged(full.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
-    bands = classes.select(F.col("rep").cast("long").alias("rep"), "sig", F.explode("bands").alias("k"))
-    edges = staged(_candidates(bands, params), "candidates")
+    first = F.min(F.struct("doc_id", "tv"))
+    classes = full.groupBy("fp1", "fp2", "n").agg(first.alias("f"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = staged(classes.select("fp1", "fp2", "n", F.col("f.doc_id").alias("rep"), F.col("f.tv").alias("tv"), F.xxhash64("fp1", "fp2", "n").alias("c"), "sig", "bands"), "classes")
+    edges = staged(_candidates(classes, params), "candidates")
     groups = min_label_components(edges, "groups")
-    members = classes.select("n", F.col("rep").alias("doc_id"), F.col("rep").cast("long").alias("rep")).join(groups.select(F.col("node").alias("rep"), F.col("label").alias("g")), "rep")
-    members = _blocked(members, "g", "rep", params.block).drop("mine", "nb")
-    links = staged(_confirmed(staged(members, "members"), docs, params), "links")
+    members = classes.select("c", "rep", "tv").join(groups.select(F.col("node").alias("rep"), F.col("label").alias("g")), "rep")
+    members = staged(_blocked(members, "g", "c", params.block).drop("mine", "nb"), "members")
+    # one document with several texts joins their classes
+    several = full.select("doc_id", "fp1", "fp2", "n").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("doc_id")
+    same = full.join(several, "doc_id", "left_semi").select("doc_id", "fp1", "fp2", "n").join(classes.select("fp1", "fp2", "n", "rep"), ["fp1", "fp2", "n"])
+    links = staged(_confirmed(members, docs, params).unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "links")
     labels = min_label_components(links, "components")
-    named = staged(classes.select("fp1", "fp2", "n", F.col("rep").alias("c")).join(labels.select(F.col("node").alias("c"), "label"), "c", "left").select("fp1", "fp2", "n", F.coalesce("label", "c").alias("c")), "named")
-    drop_staged(edges, groups, links, classes)
+    named = classes.select("fp1", "fp2", "n", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("label", "rep").alias("c"))
+    named = staged(named, "named")
+    drop_staged(edges, groups, members, links, classes, labels)
     out = signed.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2", "n"], "left")
     comp = F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
