@@ -21,6 +21,10 @@ from pyspark.sql.window import Window
 from .common import staged
 
 
+#: A kth score that is not known yet.
+NONE = -(2**63)
+
+
 @dataclass(frozen=True)
 class SearchParams:
     k: int = 10
@@ -33,13 +37,14 @@ class SearchParams:
 def usable(vectors: DataFrame, scale: int) -> DataFrame:
     """(vec_id, v): components floor(scale * x) as long; vectors null, empty or with a null or non-finite component go.
 
-    Components beyond the range of a long are clamped to +-2**62 // scale so that nothing overflows.
+    A component that is no long any more raises: cut off it would change the order of results.
     """
-    big = float(2**62 // scale)
-    x = F.transform("embedding", lambda e: F.floor(F.greatest(F.lit(-big), F.least(F.lit(big), e.cast("double") * F.lit(float(scale))))).cast("long"))
+    whole = lambda e: F.floor(e.cast("double") * F.lit(float(scale)))
+    finite = lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < F.lit(float("inf")))
+    far = lambda e: finite(e) & (F.abs(e.cast("double")) * F.lit(float(scale)) >= F.lit(2.0**63))
+    x = F.transform("embedding", lambda e: F.when(far(e), F.raise_error(F.concat(F.lit("a component does not fit a long: "), e.cast("string"))).cast("long")).when(finite(e), whole(e).cast("long")))
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    fine = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < F.lit(float("inf"))))
-    return vectors.filter(ok & fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
+    return vectors.filter(ok & F.forall("embedding", finite)).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
 
 
 class Tree:
@@ -116,14 +121,17 @@ def _searcher(params: SearchParams):
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in cols})
         dim = int(left["dim"].iloc[0])
         x, q = (np.stack(f["v"].to_numpy()).astype(np.int64) for f in (left, right))
-        top = float(np.abs(x).max()) * float(np.abs(q).max()) * dim
-        kind = np.float64 if top < 2**53 else object if top >= 2**63 else np.int64
+        top = int(max(abs(int(x.min())), abs(int(x.max())))) * int(max(abs(int(q.min())), abs(int(q.max())))) * dim
+        kind = np.float64 if top < 2**53 else object if top >= 2**63 else np.int64  # object: whole numbers of any size
         tree = Tree(left["vec_id"].to_numpy(), x.astype(kind), params.leaf).arrays()
         q, out = q.astype(kind), []
         floors = right["floor"].to_numpy()
         for i, own in enumerate(right["vec_id"].to_numpy()):
-            floor = floors[i] if floors[i] == floors[i] else -float("inf")
-            out += [(own, int(v), int(min(max(s, -(2**63)), 2**63 - 1))) for s, v in tree.search(q[i], own, params.k, floor)]
+            floor = int(floors[i]) if floors[i] > NONE else -float("inf")
+            for s, v in tree.search(q[i], own, params.k, floor):
+                if not -(2**63) <= int(s) < 2**63:
+                    raise OverflowError(f"the score of vectors {own} and {int(v)} does not fit a long")
+                out.append((own, int(v), int(s)))
         return pd.DataFrame(out, columns=cols) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in cols})
 
     return run
@@ -138,7 +146,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, params: SearchParams = SearchP
     """(query_id, rank, vec_id, score) of each query's k best other vectors; all, if there are fewer.
 
     Vectors of another length than the query's do not take part. Rows repeating a vec_id with
-    the same vector count once. Empty tables give no rows.
+    the same vector count once. Empty tables give no rows; other columns take no part. A component or a
+    score among the best that does not fit a long raises.
     """
     rows = staged(usable(vectors, params.scale).dropDuplicates(["vec_id", "v"]), "vectors")
     asked = usable(queries, params.scale).dropDuplicates(["vec_id", "v"])
@@ -156,10 +165,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, params: SearchParams = SearchP
     schema, keys = "query_id long, vec_id long, score long", ["dim", "shard", "block"]
     blocks = F.explode(F.sequence(F.lit(0), pick(1)[F.col("dim")] - 1))
     dealt = rows.withColumn("block", blocks)
-    home = asked.withColumn("shard", F.col("home")).withColumn("floor", F.lit(None).cast("double"))
+    home = asked.withColumn("shard", F.col("home")).withColumn("floor", F.lit(NONE))
     run = _searcher(params)
     first = staged(dealt.groupBy(*keys).cogroup(home.groupBy(*keys)).applyInPandas(run, schema), "home")
-    kth = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= params.k).select(F.col("query_id").alias("vec_id"), F.col("low").cast("double").alias("floor"))
-    away = asked.join(kth, "vec_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), pick(0)[F.col("dim")] - 1))).filter("shard <> home")
+    kth = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= params.k).select(F.col("query_id").alias("vec_id"), F.col("low").alias("floor"))
+    away = asked.join(kth, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(NONE))).withColumn("shard", F.explode(F.sequence(F.lit(0), pick(0)[F.col("dim")] - 1))).filter("shard <> home")
     second = dealt.groupBy(*keys).cogroup(away.groupBy(*keys)).applyInPandas(run, schema)
     return _best(first.unionByName(second), params.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
