@@ -34,11 +34,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), 4096, 1)
 
 
+def mix_params():
+    """The mix that the query and the pipeline ask for: languages to fixed shares, sources and topics flattened."""
+    from .mixing import MixParams
+
+    return MixParams(targets={"lang": {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}})
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix_sources
+    from .mixing import mix_report
 
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_topic").alias("topic"), F.round("_weight", 6).alias("weight"), F.round("_prob", 6).alias("prob"), F.col("_selected").alias("selected"))
+    r = mix_report(table(spark, sf_dir, "documents"), mix_params())
+    return r.select("doc_id", F.col("tokens").alias("n_tokens"), "topic", F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), "selected", F.round("off", 6).alias("off_target"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
