@@ -34,6 +34,7 @@ class NearParams:
     bits: int = 8  # low bits kept of a minimum
     slack: float = 0.17  # an estimate this far below the threshold is still a candidate (over four sigma)
     block: int = 1024
+    broadcast_rows: int = 500_000  # classes in candidate groups that may be broadcast to fetch their texts
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -142,15 +143,19 @@ def _signed(docs: DataFrame, params: NearParams) -> DataFrame:
 
 
 def _blocked(rows: DataFrame, key: str, ident: str, block: int) -> DataFrame:
-    """Rows of keys with two rows or more, dealt to block pairs (bi <= bj) of at most ``2 * block`` rows.
+    """Rows of keys with two rows or more, with nb (blocks of the key) and mine (the row's block).
 
-    Sizes come from a map-side combined count; a hot key's rows go to several tasks.
+    Sizes come from a map-side combined count.
     """
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    split = rows.join(sizes, key).withColumn("nb", F.ceil(F.col("m") / block).cast("int"))
-    mine = F.pmod(F.xxhash64(ident), F.col("nb").cast("long")).cast("int")
+    split = rows.join(sizes, key).withColumn("nb", F.ceil(F.col("m") / block).cast("int")).drop("m")
+    return split.withColumn("mine", F.pmod(F.xxhash64(ident), F.col("nb").cast("long")).cast("int"))
+
+
+def _dealt(blocked: DataFrame) -> DataFrame:
+    """Rows dealt to block pairs (bi <= bj) of at most about ``2 * block`` rows: a hot key's rows go to several tasks."""
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("bi"), F.greatest(F.col("mine"), o).alias("bj")))
-    return split.withColumn("mine", mine).withColumn("p", F.explode(pairs)).withColumn("bi", F.col("p.bi")).withColumn("bj", F.col("p.bj")).drop("p", "m")
+    return blocked.withColumn("p", F.explode(pairs)).withColumn("bi", F.col("p.bi")).withColumn("bj", F.col("p.bj")).drop("p", "nb", "mine")
 
 
 def _groups(batches: Iterator, key: list[str]) -> Iterator:
@@ -233,8 +238,8 @@ def _candidates(classes: DataFrame, params: NearParams) -> DataFrame:
                 yield pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])})
 
     kind = classes.schema["rep"].dataType.simpleString()
-    shared = _blocked(classes.select("c", F.explode("bands").alias("k")), "k", "c", params.block).select("k", "bi", "bj", "c")
-    dealt = shared.join(classes.select("c", "rep", "sig"), "c").select("k", "bi", "bj", "rep", "sig")
+    shared = _blocked(classes.select("c", F.explode("bands").alias("k")), "k", "c", params.block)
+    dealt = _dealt(shared.join(classes.select("c", "rep", "sig"), "c")).select("k", "bi", "bj", "rep", "sig")
     return dealt.repartition("k", "bi", "bj").sortWithinPartitions("k", "bi", "bj").mapInPandas(run, f"a {kind}, b {kind}")
 
 
@@ -269,7 +274,8 @@ def _confirmed(members: DataFrame, docs: DataFrame, params: NearParams) -> DataF
     repeating both are the same set.
     """
     texts = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("tv"), "text")
-    text = texts.join(members.select("rep", "tv", "g", "c", "bi", "bj"), ["rep", "tv"])
+    few = members.count() <= params.broadcast_rows  # checked: so many rows of six numbers; beyond it texts are shuffled
+    text = _dealt(texts.join(F.broadcast(members) if few else members, ["rep", "tv"]))
     kind = members.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -306,7 +312,7 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     edges = staged(_candidates(classes, params), "candidates")
     groups = min_label_components(edges, "groups")
     members = classes.select("c", "rep", "tv").join(groups.select(F.col("node").alias("rep"), F.col("label").alias("g")), "rep")
-    members = staged(_blocked(members, "g", "c", params.block).drop("mine", "nb"), "members")
+    members = staged(_blocked(members, "g", "c", params.block), "members")
     # one document with several texts joins their classes
     several = full.select("doc_id", "fp1", "fp2", "n").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("doc_id")
     same = full.join(several, "doc_id", "left_semi").select("doc_id", "fp1", "fp2", "n").join(classes.select("fp1", "fp2", "n", "rep"), ["fp1", "fp2", "n"])
@@ -316,5 +322,5 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     named = staged(named, "named")
     drop_staged(edges, groups, members, links, classes, labels)
     out = signed.select("doc_id", "n", "fp1", "fp2").join(named, ["fp1", "fp2", "n"], "left")
-    comp = F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
+    comp = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
