@@ -53,10 +53,12 @@ def reference_texts(docs: DataFrame, params: LangParams = LangParams(), training
 
 def _shares(texts: list[str], most: int) -> list[str]:
     """Stretches of at most ``most`` characters in all: short texts whole, of the others equal stretches from their middle."""
-    left, share = most, 0
+    left, share = most, most
     for i, n in enumerate(sorted(map(len, texts))):
         share = left // (len(texts) - i)
-        left -= min(n, share)
+        if n > share:
+            break
+        left -= n
     return [t[max(0, (len(t) - share) // 2) :][:share] for t in texts]
 
 
