@@ -21,8 +21,11 @@ def _codes(texts: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def _batched(kernel, width: int = 1):
-    """Runs a kernel on pairs of like length together, so padding stays small and memory bounded."""
+def _batched(kernel, width: int = 1, cells=lambda n: n + 1, most: int = 400_000):
+    """Runs a kernel on pairs of like length together, so padding stays small and memory bounded.
+
+    ``cells(n)`` of a pair of length n are held at once, ``most`` by a batch of several pairs.
+    """
 
     def run(a: list[str], b: list[str], *args) -> np.ndarray:
         size = np.array([max(len(x), len(y)) for x, y in zip(a, b)])
@@ -31,7 +34,7 @@ def _batched(kernel, width: int = 1):
         lo = 0
         while lo < len(order):
             hi, top = lo + 1, max(16, 2 * int(size[order[lo]]))
-            while hi < len(order) and size[order[hi]] <= top and (hi - lo) * int(size[order[hi]] + 1) < 400_000:
+            while hi < len(order) and size[order[hi]] <= top and (hi - lo) * cells(int(size[order[hi]])) < most:
                 hi += 1
             at = order[lo:hi]
             out[at] = kernel([a[i] for i in at], [b[i] for i in at], *args)
@@ -67,35 +70,36 @@ def osa_distance(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def full_distance(a: list[str], b: list[str]) -> np.ndarray:
-    """Unrestricted transpositions: each cell may reach back to the last rows of equal characters."""
-    return np.array([_full(x, y) for x, y in zip(a, b)], float)
-
-
-def _full(a: str, b: str) -> int:
-    if a == b:
-        return 0
-    top = len(a) + len(b)
-    table = {(-1, -1): top}
-    for i in range(len(a) + 1):
-        table[i, -1], table[i, 0] = top, i
-    for j in range(len(b) + 1):
-        table[-1, j], table[0, j] = top, j
-    last_row: dict[str, int] = {}
-    for i, ca in enumerate(a, 1):
-        last_col = 0
-        for j, cb in enumerate(b, 1):
-            k, col = last_row.get(cb, 0), last_col
-            if ca == cb:
-                step, last_col = table[i - 1, j - 1], j
-            else:
-                step = table[i - 1, j - 1] + 1
-            best = min(step, table[i, j - 1] + 1, table[i - 1, j] + 1)
-            if k and col:
-                best = min(best, table[k - 1, col - 1] + (i - k - 1) + 1 + (j - col - 1))
-            table[i, j] = best
-        last_row[ca] = i
-    return table[len(a), len(b)]
+def _full_kernel(a: list[str], b: list[str]) -> np.ndarray:
+    """Unrestricted transpositions: each cell may reach back to the last rows of equal characters.
+
+    All rows of a batch's tables are kept, so a cell can fetch the one it reaches back to.
+    """
+    x, la = _codes(a, -1)
+    y, lb = _codes(b, -2)
+    n, width = len(a), y.shape[1] + 1
+    rows, j = np.arange(n)[:, None], np.arange(width)
+    table = np.empty((x.shape[1] + 1, n, width), np.int32)
+    table[0] = j
+    last_row = np.zeros((n, width - 1), np.int32)  # the last row whose character is that of the column
+    col = np.arange(1, width, dtype=np.int32)
+    for i in range(1, x.shape[1] + 1):
+        eq = y == x[:, i - 1 : i]
+        prev, cur = table[i - 1], table[i]
+        cur[:, 0] = i
+        cur[:, 1:] = np.minimum(prev[:, 1:] + 1, prev[:, :-1] + ~eq)
+        # the last column before this one with the row's character
+        seen = np.maximum.accumulate(np.where(eq, col, 0), axis=1)
+        last_col = np.concatenate([np.zeros((n, 1), np.int32), seen[:, :-1]], axis=1)
+        reach = (last_row > 0) & (last_col > 0)
+        back = table[np.maximum(last_row - 1, 0), rows, np.maximum(last_col - 1, 0)] + (i - last_row - 1) + 1 + (col - last_col - 1)
+        cur[:, 1:] = np.where(reach, np.minimum(cur[:, 1:], back), cur[:, 1:])
+        table[i] = np.minimum.accumulate(cur - j, axis=1) + j
+        last_row = np.where(eq, i, last_row)
+    return table[la, np.arange(n), lb]
+
+
+full_distance = _batched(_full_kernel, cells=lambda n: (n + 1) ** 2, most=8_000_000)
 
 
 @_batched
@@ -214,7 +218,10 @@ def jaro_winkler(a: list[str], b: list[str]) -> np.ndarray:
 
 
 # Character pairs that count as similar in the 1994 comparator.
-SIMILAR = "AE AI AO AU BV EI EO EU IO IU OU IY EY CG EF WU WV XK SZ XS QC UV MN LI QO PR IJ 2Z 5S 8B 1I 1L 0O 0Q CK GJ".split()
+SIMILAR = (
+    "AE", "AI", "AO", "AU", "BV", "EI", "EO", "EU", "IO", "IU", "OU", "IY", "EY", "CG", "EF", "WU", "WV", "XK",
+    "SZ", "XS", "QC", "UV", "MN", "LI", "QO", "PR", "IJ", "2Z", "5S", "8B", "1I", "1L", "0O", "0Q", "CK", "GJ",
+)
 _ALIKE = {frozenset(p) for p in SIMILAR}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from ..functions.text import tokenise
+from ..functions.text import py_tokenise, tokenise
 
 ANY = -2
 KINDS = {1: "WarnEmptyInput", 2: "WarnUnequalLength", 3: "WarnNoTokensAfterNormalise", 4: "WarnAllNonASCIIDropped", 5: "WarnPathologicallyLargeInput"}
@@ -31,6 +31,22 @@ def validate(a, b) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.array_sort(F.filter(F.array(*rows), lambda x: x.isNotNull())))
 
 
+def py_validate(a: str, b: str) -> list[tuple[int, int, str]]:
+    """``validate`` of two Python strings."""
+    size = lambda s: len(s.encode("utf-8", "surrogatepass"))
+    la, lb, na, nb = size(a), size(b), len(py_tokenise(a)), len(py_tokenise(b))
+    beyond = lambda s: s != "" and not any(c.isascii() for c in s)
+    flag = lambda x: str(x).lower()
+    rules = [
+        (not a or not b, 1, [ANY], f"empty input, byte lengths: {la} and {lb}"),
+        (max(la, lb) > LARGE, 5, [ANY], f"over {LARGE} bytes, byte lengths: {la} and {lb}"),
+        (la != lb, 2, [S.IDS["Hamming"]], f"unequal byte lengths: {la} and {lb}"),
+        ((not na or not nb) and bool(a or b), 3, [S.IDS[n] for n in S.TOKEN_TIER], f"no tokens, counts: {na} and {nb}"),
+        (beyond(a) or beyond(b), 4, [S.IDS[n] for n in S.ASCII_ONLY], f"no ASCII character: {flag(beyond(a))} and {flag(beyond(b))}"),
+    ]
+    return sorted((algo, kind, detail) for cond, kind, algos, detail in rules if cond for algo in algos)
+
+
 def validate_rows(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row per warning beside the columns of ``df``."""
     return df.select("*", F.explode(validate(a, b)).alias("w")).select(*df.columns, "w.algorithm", "w.kind", "w.detail")
