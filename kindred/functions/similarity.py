@@ -169,37 +169,65 @@ def _gram_score(a, b, n: int, runes: bool, body) -> Column:
     return _known(x, y, F.when(x == y, F.lit(1.0)).otherwise(_let(F.struct(grams(x, n).alias("p"), grams(y, n).alias("q")), guarded)))
 
 
+def _unique(g: Column) -> Column:
+    return F.size(F.array_distinct(g)) == F.size(g)
+
+
 def _shared(p: Column, q: Column) -> Column:
-    """Grams in common, repeats counted; work goes only into grams that both have."""
-    return F.aggregate(F.array_intersect(p, q), F.lit(0), lambda s, t: s + F.least(_count(p, t), _count(q, t)))
+    """Grams in common, repeats counted. Without repeats on one side that is the set intersection."""
+    counted = F.aggregate(F.array_intersect(p, q), F.lit(0), lambda s, t: s + F.least(_count(p, t), _count(q, t)))
+    return F.when(_unique(p) | _unique(q), F.size(F.array_intersect(p, q))).otherwise(counted)
+
+
+#: Measures that need no more than the numbers of grams, on either side and in common.
+COUNTED = {
+    "QGramJaccard": lambda c, p: c["i"] / (c["na"] + c["nb"] - c["i"]),
+    "SorensenDice": lambda c, p: 2.0 * c["i"] / (c["na"] + c["nb"]),
+    "Tversky": lambda c, p: F.when(c["i"] == 0, F.lit(0.0)).otherwise(c["i"] / (c["i"] + F.lit(float(p["alpha"])) * (c["na"] - c["i"]) + F.lit(float(p["beta"])) * (c["nb"] - c["i"]))),
+}
+
+
+def gram_counts(a, b, n: int, runes: bool = False) -> Column:
+    """struct(same, na, nb, i): whether the texts are equal, their numbers of grams, and those in common."""
+    x, y = _both(a, b, runes)
+    both = F.struct(grams(x, n).alias("p"), grams(y, n).alias("q"))
+    counts = _let(both, lambda s: F.struct((x == y).alias("same"), F.size(s["p"]).alias("na"), F.size(s["q"]).alias("nb"), _shared(s["p"], s["q"]).alias("i")))
+    return _known(x, y, counts)
+
+
+def from_counts(name: str, c: Column, params: dict) -> Column:
+    """The score of a measure of COUNTED from ``gram_counts``."""
+    none, one = (c["na"] == 0) & (c["nb"] == 0), (c["na"] == 0) | (c["nb"] == 0)
+    return F.when(c.isNotNull(), F.when(c["same"] | none, F.lit(1.0)).when(one, F.lit(0.0)).otherwise(COUNTED[name](c, params)))
+
+
+def _counted(name: str, a, b, runes: bool, **params) -> Column:
+    return _let(gram_counts(a, b, params["n"], runes), lambda c: from_counts(name, c, params))
 
 
 def q_gram_jaccard_score(a, b, n: int = 3, runes: bool = False) -> Column:
-    S.check_params("QGramJaccard", {"n": n})
-    return _gram_score(a, b, n, runes, lambda p, q: _let(_shared(p, q), lambda i: i / (F.size(p) + F.size(q) - i)))
+    return _counted("QGramJaccard", a, b, runes, **S.check_params("QGramJaccard", {"n": n}))
 
 
 def sorensen_dice_score(a, b, n: int = 3, runes: bool = False) -> Column:
-    S.check_params("SorensenDice", {"n": n})
-    return _gram_score(a, b, n, runes, lambda p, q: 2.0 * _shared(p, q) / (F.size(p) + F.size(q)))
+    return _counted("SorensenDice", a, b, runes, **S.check_params("SorensenDice", {"n": n}))
 
 
 def cosine_score(a, b, n: int = 3, runes: bool = False) -> Column:
     S.check_params("Cosine", {"n": n})
 
     def body(p: Column, q: Column) -> Column:
-        norm = lambda g: F.sqrt(F.aggregate(F.array_distinct(g), F.lit(0.0), lambda s, t: s + F.pow(_count(g, t).cast("double"), F.lit(2.0))))
-        dot = F.aggregate(F.array_intersect(p, q), F.lit(0.0), lambda s, t: s + _count(p, t) * _count(q, t).cast("double"))
+        counted = lambda g: F.aggregate(F.array_distinct(g), F.lit(0.0), lambda s, t: s + F.pow(_count(g, t).cast("double"), F.lit(2.0)))
+        norm = lambda g: F.sqrt(F.when(_unique(g), F.size(g).cast("double")).otherwise(counted(g)))
+        common = F.array_intersect(p, q)
+        dot = F.when(_unique(p) & _unique(q), F.size(common).cast("double")).otherwise(F.aggregate(common, F.lit(0.0), lambda s, t: s + _count(p, t) * _count(q, t).cast("double")))
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot / (norm(p) * norm(q))))
 
     return _gram_score(a, b, n, runes, body)
 
 
 def tversky_score(a, b, n: int = 3, alpha: float = 1.0, beta: float = 1.0, runes: bool = False) -> Column:
-    S.check_params("Tversky", {"n": n, "alpha": alpha, "beta": beta})
-    x, y = F.lit(float(alpha)), F.lit(float(beta))
-    ratio = lambda p, q: lambda i: F.when(i == 0, F.lit(0.0)).otherwise(i / (i + x * (F.size(p) - i) + y * (F.size(q) - i)))
-    return _gram_score(a, b, n, runes, lambda p, q: _let(_shared(p, q), ratio(p, q)))
+    return _counted("Tversky", a, b, runes, **S.check_params("Tversky", {"n": n, "alpha": alpha, "beta": beta}))
 
 
 # --- tokens -------------------------------------------------------------------

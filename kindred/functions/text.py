@@ -86,15 +86,12 @@ def tokenise(c: Column, options: TokeniseOptions = TokeniseOptions()) -> Column:
         if options.split_consecutive_upper:
             cuts.append(r"(?<=\p{Lu})(?=\p{Lu}\p{Ll})")
     parts = F.filter(F.split(c, "|".join(cuts)) if cuts else F.array(c), lambda x: x != "")
-    if not options.lowercase:
-        return parts
-    plain = F.transform(parts, lambda x: F.lower(x))
-    return F.when(c.rlike(_BEYOND_ASCII), _lower_tokens(F.when(c.rlike(_BEYOND_ASCII), parts))).otherwise(plain)
+    return F.transform(parts, simple_lower) if options.lowercase else parts
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _lower_tokens(parts: pd.Series) -> pd.Series:
-    return parts.map(lambda p: [_simple_lower(x) for x in p], na_action="ignore")
+def simple_lower(c: Column) -> Column:
+    """Lower case one code point at a time: the two characters whose lower case hangs on their place or is longer are set first."""
+    return F.lower(F.translate(c, "Σİ", "σi"))
 
 
 def grams(c: Column, n: int) -> Column:

@@ -55,11 +55,12 @@ def check_pairs(cfg: ScanConfig) -> None:
 def check_items(items: DataFrame, show: int = 20) -> None:
     """Raises for empty names and repeated (name, group); the message has places only, never names."""
     empty = F.coalesce(F.col("name"), F.lit("")) == ""
+    named = items.groupBy("name", "group").agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("n")).filter(empty | (F.col("n") > 1))
+    if not named.limit(1).count():
+        return
     lost = [r["idx"] for r in items.filter(empty).select("idx").orderBy("idx").limit(show).collect()]
-    firsts = items.filter(~empty).groupBy("name", "group").agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = [(r["first"], r["n"]) for r in firsts.select("first", "n").orderBy("first").limit(show).collect()]
-    if lost or again:
-        raise InvalidItem(f"empty names at {lost}; repeated items (first place, count): {again}")
+    again = [(r["first"], r["n"]) for r in named.filter(~empty).select("first", "n").orderBy("first").limit(show).collect()]
+    raise InvalidItem(f"empty names at {lost}; repeated items (first place, count): {again}")
 
 
 def _prepared(items: DataFrame, scorer: Scorer) -> DataFrame:
@@ -119,13 +120,16 @@ def scored(found: DataFrame, cfg: ScanConfig) -> DataFrame:
     low = s.threshold
     pairs = found.select("norm_a", "norm_b").distinct()
     a, b = F.col("norm_a"), F.col("norm_b")
-    native = s.native(a, b)
+    # generated rows: filters stay above them, so no measure is computed in a filter and again in its projection
+    pairs = pairs.select(F.inline(F.array(s.native_row(a, b, norm_a=a, norm_b=b))))
+    native = {n: F.col(f"n_{n}") for n in s.native(a, b)}
     if native:
         pairs = pairs.filter(s.bound(native) >= F.lit(low))
     kernel = s.kernel(a, b)
-    pairs = pairs.select("norm_a", "norm_b", *[c.alias(f"n_{n}") for n, c in native.items()], (kernel if kernel is not None else F.lit(None)).alias("k"))
-    each = s.assembled({n: F.col(f"n_{n}") for n in native}, F.col("k"))
-    pairs = pairs.select("norm_a", "norm_b", s.fold(each).alias("score"), F.map_from_arrays(s.names(), F.array(*each)).alias("scores")).filter(F.col("score") >= F.lit(low))
+    pairs = pairs.withColumn("k", kernel if kernel is not None else F.lit(None))
+    each = s.assembled(native, F.col("k"))
+    row = F.struct("norm_a", "norm_b", s.fold(each).alias("score"), F.map_from_arrays(s.names(), F.array(*each)).alias("scores"))
+    pairs = pairs.select(F.inline(F.array(row))).filter(F.col("score") >= F.lit(low))
     within, across = F.lit(s.threshold), F.lit(min(1.0, s.threshold + cfg.cross_group_threshold_boost))
     return found.join(pairs, ["norm_a", "norm_b"]).filter(F.col("score") >= F.when(F.col("kind") == 1, within).otherwise(across))
 

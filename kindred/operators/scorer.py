@@ -110,15 +110,27 @@ class Scorer:
         c = F.col(c) if isinstance(c, str) else c
         return normalise(c, self.options) if self.options else c
 
-    def native(self, a: Column, b: Column) -> dict[str, Column]:
-        """Columns of the measures that stay in the JVM, on prepared text."""
-        return {e.name: sim.SCORES[e.name](a, b, **e.params) for e in self.entries if e.name in sim.NATIVE}
+    def native(self, a: Column, b: Column, counts: dict | None = None) -> dict[str, Column]:
+        """Columns of the measures that stay in the JVM, on prepared text; ``counts`` has gram counts by size."""
+        out = {}
+        for e in self.entries:
+            if counts and e.name in sim.COUNTED:
+                out[e.name] = sim.from_counts(e.name, counts[e.params["n"]], e.params)
+            elif e.name in sim.NATIVE:
+                out[e.name] = sim.SCORES[e.name](a, b, **e.params)
+        return out
 
-    def kernel(self, a: Column, b: Column) -> Column | None:
-        """One array of the other measures in catalogue order, each distinct pair of a batch once.
+    def native_row(self, a: Column, b: Column, **others: Column) -> Column:
+        """One struct of ``others`` and of the native measures as ``n_<name>``; grams of one size are counted once for all measures."""
+        sizes = sorted({e.params["n"] for e in self.entries if e.name in sim.COUNTED})
+        row = lambda counts: F.struct(*[c.alias(k) for k, c in others.items()], *[c.alias(f"n_{n}") for n, c in self.native(a, b, counts).items()])
+        if not sizes:
+            return row(None)
+        held = F.struct(*[sim.gram_counts(a, b, n).alias(f"g{n}") for n in sizes])
+        return F.get(F.transform(F.array(held), lambda h: row({n: h[f"g{n}"] for n in sizes})), F.lit(0))
 
-        The function counts as non-deterministic, so a filter on it does not run it twice.
-        """
+    def kernel(self, a: Column, b: Column) -> Column | None:
+        """One array of the other measures in catalogue order, each distinct pair of a batch once."""
         rest = [(e.name, e.params) for e in self.entries if e.name not in sim.NATIVE]
         if not rest:
             return None
@@ -131,7 +143,7 @@ class Scorer:
             rows = list(zip(*cols))
             return pd.Series([None if i < 0 else list(rows[i]) for i in at], dtype="object")
 
-        return F.pandas_udf(run, T.ArrayType(T.DoubleType())).asNondeterministic()(a, b)
+        return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(a, b)
 
     def assembled(self, native: dict[str, Column], kernel: Column | None) -> list[Column]:
         """One column per measure, in catalogue order."""
@@ -175,7 +187,7 @@ class Scorer:
             return pd.Series([None if i < 0 else list(rows[i]) for i in at], dtype="object")
 
         a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
-        return F.pandas_udf(run, T.ArrayType(T.DoubleType())).asNondeterministic()(a, b)
+        return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(a, b)
 
     def score_and_all(self, a, b) -> Column:
         """struct(score, scores) of raw text; scores maps the measure's name to its score."""
@@ -192,12 +204,8 @@ class Scorer:
         return F.map_from_arrays(self.names(), F.slice(self._each(a, b), 2, len(self.entries)))
 
     def bound(self, native: dict[str, Column]) -> Column:
-        """The most the score can be once the native measures are known.
-
-        The slack is between 1e-9 and 2e-9; being non-deterministic it keeps a filter on the bound where it
-        is put, after pairs are made distinct.
-        """
-        return self.fold([native.get(e.name, F.lit(1.0)) for e in self.entries]) + F.lit(1e-9) * (F.rand(0) + 1.0)
+        """The most the score can be once the native measures are known, with room for rounding."""
+        return self.fold([native.get(e.name, F.lit(1.0)) for e in self.entries]) + F.lit(1e-9)
 
 
 def default_scorer_builder() -> ScorerBuilder:
