@@ -50,15 +50,16 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     It cuts the lineage like a reliable checkpoint, survives lost executors and,
-    being columnar, lets later readers prune columns.
+    being columnar, lets later readers prune columns. ``files`` bounds the number of files of a
+    table whose size is known: rounds over a small table don't write hundreds each.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kindred_path = path  # for drop_staged
     return out
@@ -107,16 +108,17 @@ def min_label_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         edges.select("a", "b").filter("a <> b").distinct().select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b"),
         f"{name}-edges",
     )
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0")
+    files = both.count() // 200_000 + 1
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0", files)
     moved, i = 1, 0
     while moved:
         i += 1
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        seen = staged(labels.join(near, "node").select("node", "label", "near"), f"{name}-seen-{i}")
+        seen = staged(labels.join(near, "node").select("node", "label", "near"), f"{name}-seen-{i}", files)
         hook = seen.filter("near < label").groupBy("label").agg(F.min("near").alias("hook"))  # lower labels seen by any node of a label
         low = seen.join(hook, "label", "left").select("node", "label", F.least("label", "near", "hook").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        new = staged(low.join(jump, "low").select("node", F.least("low", "far").alias("new"), (F.least("low", "far") < F.col("label")).alias("moved")), f"{name}-{i}")
+        new = staged(low.join(jump, "low").select("node", F.least("low", "far").alias("new"), (F.least("low", "far") < F.col("label")).alias("moved")), f"{name}-{i}", files)
         moved = new.filter("moved").limit(1).count()
         drop_staged(labels, seen)
         labels = new.select("node", F.col("new").alias("label"))
