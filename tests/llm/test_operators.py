@@ -277,17 +277,16 @@ def test_two_fit_uses_every_piece():
 
 
 def test_mixing(spark, docs, none):
-    cells = [(s, "en" if k else "fr", t, 100 * (1 + k) + 10 * len(s)) for s in ("a", "bb", "ccc") for k in (0, 1) for t in ("long", "short")]
-    rows = [(i, " ".join(["w"] * (n if t == "long" else n % 90)) , l, s, 0, 7, "r") for i, (s, l, t, n) in enumerate(cells * 3)]
+    cells = [(s, "en" if k else "fr", 100 * (1 + k) + 10 * len(s)) for s in ("a", "bb", "ccc") for k in (0, 1)]
+    rows = [(i, " ".join(["w"] * n), l, s, 0, 7, "r") for i, (s, l, n) in enumerate(cells * 3)]
     df = spark.createDataFrame(rows, DOCS)
-    params = X.MixParams(targets={"lang": {"en": 0.5, "fr": 0.5}}, rounds=12)
-    out = X.mix_sources(df, params)
-    share = {r.lang: r.w for r in out.groupBy("lang").agg(F.sum(F.col("_tokens") * F.col("_weight")).alias("w")).collect()}
-    assert abs(share["en"] / sum(share.values()) - 0.5) < 0.01
-    kept, total = out.agg(F.sum(F.col("_tokens") * F.col("_prob")), F.sum("_tokens")).first()
+    out = X.mix_sources(df, X.MixParams(targets={"lang": {"en": 0.5, "fr": 0.5}}))
+    share = {r.lang: r.w for r in out.groupBy("lang").agg(F.sum(F.col("cell.tokens") * F.col("cell.weight")).alias("w")).collect()}
+    assert abs(share["en"] / sum(share.values()) - 0.5) < 0.001
+    kept, total = out.agg(F.sum(F.col("cell.tokens") * F.col("cell.prob")), F.sum("cell.tokens")).first()
     assert abs(kept / total - 0.8) < 0.01
     full = X.mix_sources(docs)
-    assert full.count() == docs.count() and full.filter("_prob < 0 OR _prob > 1 OR _prob IS NULL").count() == 0
+    assert full.count() == docs.count() and full.filter("cell.prob < 0 OR cell.prob > 1 OR cell.prob IS NULL").count() == 0
     assert X.mix_sources(none).count() == 0
 
 
