@@ -152,7 +152,7 @@ def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame
 
 
 def line_report(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """One row per document: doc_id, the text that is left, and its characters before and after."""
+    """One row per row: doc_id, the text that is left, and its characters before and after (null for a null text); other columns take no part."""
     before = docs.select("doc_id", "text", F.length("text").alias("n_chars"))
     done = dedup_lines(before.withColumn("chars_before", F.col("n_chars")), params)
     return done.select("doc_id", "text", F.col("chars_before").cast("long").alias("chars_before"), F.length("text").cast("long").alias("chars_after"))

@@ -220,7 +220,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. Repeated rows are packed each for itself;
-    equal lengths are told apart by task and order in the staged table, so ties are settled.
+    equal lengths are told apart by task and order in the staged table, so ties are settled. An
+    empty table gives no rows; other columns take no part.
     """
     pieces = staged(tokenised(docs, tokenizer, capacity, end_id), "pieces")
     per_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))

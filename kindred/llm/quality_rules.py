@@ -244,5 +244,9 @@ def apply_rules(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
-    """Learn the list on labelled rows, then judge every document."""
+    """Learn the list on labelled rows, then judge every document.
+
+    Labels that are null, of no document or of one class only teach nothing; of an id with several
+    labels the largest counts.
+    """
     return apply_rules(docs, learn(labelled_sample(docs, labels, params), params))
