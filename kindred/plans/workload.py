@@ -61,8 +61,8 @@ def _score(f, n: int):
 WORKLOADS = {
     "names_10k_in_500": _scan(10_000, 500),
     "names_10k_in_50": _scan(10_000, 50),
-    "names_10k_in_500_across": _scan(10_000, 500, True),
-    "names_200k_in_10k": _scan(200_000, 10_000),
+    "names_2k_in_100_across": _scan(2_000, 100, True),
+    "names_100k_in_5k": _scan(100_000, 5_000),
     "levenshtein_1m": _score(sim.levenshtein_score, 1_000_000),
     "q_gram_jaccard_1m": _score(sim.q_gram_jaccard_score, 1_000_000),
     "jaro_winkler_1m": _score(sim.jaro_winkler_score, 1_000_000),
