@@ -7,9 +7,9 @@ id, so the draw is the same on every run and every cluster. All of it is DataFra
 operations on a table of cells, which grows with the distinct labels and not with the
 documents.
 
-Topics come from the data: words that are neither rare nor common among a language's documents
-in a bounded sample are its anchors, dealt to the topics in turn, so every topic has
-words in every language; a text belongs to the topic it holds most anchors of.
+Topics come from the data: words that are neither rare nor common among all of a language's
+documents are its anchors, dealt to the topics in turn, so every topic has words in every
+language; a text belongs to the topic it holds most anchors of.
 """
 
 from __future__ import annotations
@@ -38,7 +38,6 @@ class MixParams:
     topics: int = 6
     topic_words: int = 4  # anchors of a topic in each language
     topic_languages: int = 16  # the most frequent ones have anchors
-    topic_docs: int = 2000  # bound of the sample they are chosen on
     topic_share: tuple = (0.02, 0.2)  # share of a language's documents in it that hold an anchor
 
 
@@ -61,21 +60,21 @@ def n_tokens(text: Column) -> Column:
 def anchors(docs: DataFrame, params: MixParams = MixParams()) -> list[tuple[str, int, float]]:
     """(word, topic, weight) of the anchors: lower-case words of letters, each language's most frequent ones within the bounds.
 
-    The sample is chosen by hash of the id; a bounded number of rows goes to the driver. The weight is
-    the log of the inverse document share. A word that two languages share is the first one's.
+    Document counts are those of the whole table, every row with a text one document; they are combined
+    before the shuffle. Only the anchors themselves go to the driver. The weight is the log of the inverse
+    document share. A word that two languages share is the first one's.
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang")
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.topic_docs).distinct()
-    few = staged(rows.join(F.broadcast(ids), "doc_id").select("doc_id", lang, "text"), "topic-sample")  # at most topic_docs ids
-    size = few.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(params.topic_languages)
-    held = few.select("lang", F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).filter(F.col("word").rlike(r"^\p{Ll}{3,}$"))
-    df = held.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(size), "lang")  # topic_languages rows
+    each = F.concat(F.array(F.lit("")), F.array_distinct(_words(F.col("text"))))  # the empty word counts the documents
+    held = docs.filter("text IS NOT NULL").select(lang, F.explode(each).alias("word")).filter((F.col("word") == "") | F.col("word").rlike(r"^\p{Ll}{3,}$"))
+    counts = staged(held.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df")), "topic-words")
+    size = counts.filter("word = ''").select("lang", F.col("df").alias("n")).orderBy(F.col("n").desc(), "lang").limit(params.topic_languages)
+    df = counts.filter("word <> ''").join(F.broadcast(size), "lang")  # topic_languages rows
     low, high = params.topic_share
     order = Window.partitionBy("lang").orderBy(F.col("df").desc(), "word")
     good = df.filter((F.col("df") >= F.greatest(F.lit(2.0), F.lit(low) * F.col("n"))) & (F.col("df") <= F.lit(high) * F.col("n")))
     top = good.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= params.topics * params.topic_words).select("lang", "word", "k", F.log(F.col("n") / F.col("df")).alias("weight")).collect()
-    drop_staged(few)
+    drop_staged(counts)
     found: dict = {}
     for r in sorted(top):
         found.setdefault(r.word, ((r.k - 1) % params.topics, r.weight))

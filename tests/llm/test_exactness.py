@@ -213,6 +213,32 @@ def test_mixing_by_hand(spark, targets):
     assert max(r.off for r in got.values()) < 1e-9
 
 
+def test_anchors_count_every_document(spark):
+    """Document counts, bounds and weights are those of the whole table, which is larger than any sample."""
+    rng = random.Random(31)
+    words = {k: [k + "".join(rng.choice("bcdfgaeiou") for _ in range(4)) for _ in range(60)] for k in ("en", "de")}
+    rows = []
+    for i in range(5000):
+        lang = rng.choice(["en", "en", "de", None])
+        text = " ".join(rng.choice(words[lang or "de"]) for _ in range(rng.randrange(0, 9))) + rng.choice(["", " x1", " Shared\n"])
+        rows.append((i if i % 50 else None, rng.choice([text, text.upper()]) if i % 70 else None, lang, "s0", 0, 7, "r"))
+    params = X.MixParams()
+    n, df = {}, {}
+    for _, text, lang, *_ in rows:
+        if text is not None:
+            lang = X.NONE if lang is None else lang
+            n[lang] = n.get(lang, 0) + 1
+            for w in {w for w in WORD.findall(text.lower()) if re.fullmatch("[a-z]{3,}", w)}:
+                df[lang, w] = df.get((lang, w), 0) + 1
+    want = {}
+    for lang in sorted(n):
+        good = sorted((-c, w) for (k, w), c in df.items() if k == lang and max(2, 0.02 * n[lang]) <= c <= 0.2 * n[lang])
+        for k, (c, w) in enumerate(good[: params.topics * params.topic_words]):
+            want.setdefault(w, (k % params.topics, round(math.log(n[lang] / -c), 12)))
+    found = X.anchors(spark.createDataFrame(rows, DOCS).repartition(5), params)
+    assert {w: (t, round(x, 12)) for w, t, x in found} == want and len(want) >= 48
+
+
 def test_targets_that_cannot_be_met(spark):
     rows = [(1, "a b c", "en", "s0", 0, 7, "r"), (2, "d e", "de", "s1", 0, 7, "r")]
     with pytest.warns(UserWarning, match="not met"):
