@@ -6,6 +6,9 @@ characters, ``[^\\x20\\x09-\\x0D]+``, everywhere in this subpackage.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -95,6 +98,31 @@ def words(text: Column) -> Column:
     return F.filter(cut, lambda w: w != "")
 
 
+_KEPT: dict = {}
+
+
+def keep_for(owner: str, key=None, make=None):
+    """What ``make`` gives, kept in this Python worker for later tasks of ``owner`` with the same ``key``.
+
+    Workers serve one operator after the other. What another one kept (automata, tokenizers, word
+    caches) is let go and its memory given back to the system, so a worker holds the tables of one operator
+    at a time. Operators that keep nothing call it with their name alone.
+    """
+    if _KEPT.get("owner") != owner or (make is not None and _KEPT.get("key") != key):
+        _KEPT.clear()
+        gc.collect()
+        with contextlib.suppress(ImportError):
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+            ctypes.CDLL(None).malloc_trim(0)
+        _KEPT["owner"] = owner
+    if make is not None and "value" not in _KEPT:
+        _KEPT.update(key=key, value=make())
+    return _KEPT.get("value")
+
+
 def min_label_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of the undirected ``edges(a, b)``: ``(node, label)``, label the least node.
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import keep_for
+
 BLOCK = 1024
 
 
@@ -213,7 +215,6 @@ class Parser:
 
 
 _TABLE: list = []
-_PARSERS: dict = {}
 
 
 def _fold(text: str) -> np.ndarray:
@@ -235,10 +236,7 @@ def _fold(text: str) -> np.ndarray:
 
 
 def _parser(key: tuple, alphabet: int) -> Parser:
-    if (key, alphabet) not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key, alphabet] = Parser(dict(key), alphabet)
-    return _PARSERS[key, alphabet]
+    return keep_for("language_id", (key, alphabet), lambda: Parser(dict(key), alphabet))
 
 
 def identify(docs: DataFrame, texts: dict[str, str], params: LangParams = LangParams(), out_lang: str = "lang_pred", out_score: str = "score") -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop_staged, fresh, staged
+from .common import SPACE, drop_staged, fresh, keep_for, staged
 from .minhash import mix
 
 #: Between a line break, or a sentence end and its space, and what follows.
@@ -76,6 +76,7 @@ def _fingerprints(lines: DataFrame, params: LineParams) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_for("line_dedup")
         for b in batches:
             ends = b.column(2).offsets.to_numpy().astype(np.int64)
             ends = ends - ends[0]
@@ -104,6 +105,7 @@ def _merged(found: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_for("line_dedup")
         for b in batches:
             out = []
             for m in b.column(2):

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, min_label_components, staged
+from .common import drop_staged, keep_for, min_label_components, staged
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -116,6 +116,7 @@ def _signed(docs: DataFrame, params: NearParams) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        keep_for("minhash")
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -210,6 +211,7 @@ def _candidates(classes: DataFrame, params: NearParams) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        keep_for("minhash")
         key = ["k", "bi", "bj"]
         for pdf in _groups(batches, key):
             at, ids = _bounds(pdf, key), pdf["rep"].to_numpy()
@@ -281,6 +283,7 @@ def _confirmed(members: DataFrame, docs: DataFrame, params: NearParams) -> DataF
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        keep_for("minhash")
         key = ["g", "bi", "bj"]
         for pdf in _groups(batches, key):
             at, a, b = _bounds(pdf, key), [], []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import keep_for, staged
 
 #: The cut below is that of this normal form and these pieces; a tokenizer file that states others encodes all texts whole.
 _KNOWN = (
@@ -28,7 +28,6 @@ _KNOWN = (
 #: Ranges of characters whose class is the same for all tools (no spaces beyond ASCII, no format characters, nothing unassigned).
 _RANGES = ((0x00, 0x1B), (0x20, 0x7E), (0xA1, 0xAC), (0xAE, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E))
 _PIECES = r"[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\u024f]+"
-_CACHE: dict = {}
 
 
 def plain_characters() -> str:
@@ -123,9 +122,7 @@ class CachedTokenizer:
 
 
 def _tokenizer(path: str) -> CachedTokenizer:
-    if path not in _CACHE:
-        _CACHE[path] = CachedTokenizer(path)
-    return _CACHE[path]
+    return keep_for("packing", path, lambda: CachedTokenizer(path))
 
 
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:

@@ -86,6 +86,35 @@ def test_stages_keep_columns(spark, docs, name, tmp_path):
     assert stage(spark, nulls, str(tmp_path)).count() in ({"language_id": (0,), "line_dedup": (0,)}.get(name, (0, 1, 2, 3)))
 
 
+def test_workers_keep_one_operator_at_a_time(spark):
+    """A worker that parsed languages and packed holds no automata while it packs, and neither while it cuts lines."""
+    docs = spark.createDataFrame(corpus(), DOCS).filter("doc_id IS NOT NULL").coalesce(1)
+    texts = L.reference_texts(docs)
+
+    def held(batches):
+        import gc
+        import os
+
+        import pandas as pd
+
+        for _ in batches:
+            pass
+        kinds = [type(x).__name__ for x in gc.get_objects()]
+        yield pd.DataFrame({"pid": [os.getpid()], "parsers": [kinds.count("Parser")], "tokenizers": [kinds.count("CachedTokenizer")]})
+
+    def now():
+        r = spark.range(1).coalesce(1).mapInPandas(held, "pid long, parsers long, tokenizers long").first()
+        return r.parsers, r.tokenizers
+
+    L.identify(docs, texts).count()
+    L.identify(docs, texts).collect()
+    K.tokenised(docs, tokenizer_path(), 256, 1).collect()
+    parsers, tokenizers = now()
+    assert parsers == 0 and tokenizers <= 1
+    D._fingerprints(D._lines(docs), D.LineParams()).collect()
+    assert now() == (0, 0)
+
+
 def test_language_stage_fills_labels(spark):
     rng = random.Random(3)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
