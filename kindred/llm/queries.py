@@ -15,11 +15,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .language_id import held_out, identify, reference_texts
+    from .language_id import held_out, identify, learn
 
     docs = table(spark, sf_dir, "documents")
-    texts = reference_texts(docs, training=~held_out())
-    return identify(docs.select("doc_id", "text"), texts).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    learnt = learn(docs, training=F.col("doc_id").isNotNull() & ~held_out())
+    return identify(docs.select("doc_id", "text"), learnt).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def tokenizer_path() -> str:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline as C
 from kindred.llm import html_extract as H
 from kindred.llm import language_id as L
 from kindred.llm import minhash as M
@@ -106,6 +107,68 @@ def test_held_out_language(spark):
     assert len(out) > 30 and sum(r.lang == r.lang_pred for r in out) >= 0.95 * len(out)
 
 
+def phrases_by_hand(rows, longest, one_in):
+    """Per language the phrases that start at one in ``one_in`` of the positions of all its texts."""
+    out = {}
+    for lang in {k for _, t, k in rows if k is not None}:
+        count, total = {}, 0
+        for _, t, k in rows:
+            folded = re.sub(r"[\W\d_]+", " ", (t or "").lower())
+            if k == lang and folded.strip():
+                total += len(folded)
+                for i in range(len(folded)):
+                    for n in range(1, min(longest, len(folded) - i) + 1):
+                        count[folded[i : i + n]] = count.get(folded[i : i + n], 0) + 1
+        out[lang] = {g for g, n in count.items() if n * one_in >= total}
+    return {k: v for k, v in out.items() if v}
+
+
+def held_phrases(learnt):
+    letters = " " + "".join(map(chr, learnt.letters))
+    codes = lambda key: [key >> L.BITS * (learnt.longest - 1 - j) & 63 for j in range(learnt.longest)]
+    return {k: {"".join(letters[c - 1] for c in codes(key) if c) for key in np.frombuffer(b, np.int64).tolist()} for k, b in learnt.phrases}
+
+
+@pytest.mark.parametrize(("longest", "one_in", "chunk"), [(6, 20_000, 1 << 20), (6, 300, 512), (3, 40, 64)])
+def test_phrases_of_all_texts_by_hand(spark, monkeypatch, longest, one_in, chunk):
+    monkeypatch.setattr(L, "CHUNK", chunk)
+    monkeypatch.setattr(L, "HELD", chunk)
+    rng = random.Random(8)
+    rows = [(i if i % 9 else None, prose(rng, rng.randrange(1, 60)) + rng.choice(["", ".", " 7 x", "\n"]), rng.choice(["aa", "bb", None])) for i in range(300)]
+    rows += [(1000, None, "aa"), (1001, "12 !", "cc"), (1002, "", "aa"), (1003, "z", "dd"), (1004, prose(rng, 900), "bb")]
+    learnt = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), L.LangParams(longest=longest, one_in=one_in))
+    assert held_phrases(learnt) == phrases_by_hand(rows, longest, one_in)
+    p = L.Parser(learnt, 61)
+    for k, lang in enumerate(p.langs):
+        has, texts = held_phrases(learnt)[lang], ["zq" + t[:200] for _, t, _ in rows[:20]]
+        want = []
+        for t in texts:
+            f, at, n = re.sub(r"[\W\d_]+", " ", t.lower()), 0, 0
+            while at < len(f):
+                at += next((d for d in range(longest, 0, -1) if len(f) - at >= d and f[at : at + d] in has), 1)
+                n += 1
+            want.append(n)
+        assert p.phrases(texts)[0][k].tolist() == want
+
+
+def test_every_labelled_row_is_learnt_from(spark, tmp_path):
+    """A word of its own per document: unlabelled copies get its language only if that document was learnt from."""
+    rng = random.Random(9)
+    own = ["".join(rng.choice("abcdefghijklmnop") for _ in range(30)) for _ in range(400)]
+    rows = [(i, w, ["aa", "bb"][i % 2], "s", 30) for i, w in enumerate(own)] + [(1000 + i, w, None, "s", 30) for i, w in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang for r in C.language_stage(spark, docs, str(tmp_path)).collect()}
+    assert got == {i + k: ["aa", "bb"][i % 2] for i in range(400) for k in (0, 1000)}
+
+
+def test_a_label_on_little_text_takes_no_other(spark):
+    rng = random.Random(10)
+    rows = [(i, prose(rng, 80), "aa") for i in range(30)] + [(90, "zz", "bb"), (91, "1 2 3", "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in L.identify(df, L.learn(df)).collect()}
+    assert got == {i: "aa" for i in range(30)} | {90: "bb", 91: "und"}
+
+
 def test_repeats_with_colliding_hashes(spark):
     """Few hash bits, so nearly all windows collide: counts stay exact."""
     texts = dict(enumerate(r[1] for r in corpus() if r[1]))
